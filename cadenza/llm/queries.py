@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadenza.llm.common import read
+from cadenza.llm.html_text import extract_main_text
+from cadenza.llm.language_id import identify
 from cadenza.llm.ngram_join import jaccard_components
 from cadenza.llm.topk import top_k
 from cadenza.llm.url_filter import filter_urls
@@ -31,7 +32,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark, read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_exact_top_k, op7_warc, op9_url_filters)}
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_html_extraction, op6_exact_top_k, op7_warc, op9_url_filters, op10_language_id)}
 
 _RULES = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in URL_RULES)
 SQL = {
