@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import Cuts
 
 #: Rounds of pivots before the rest is verified pair by pair; pairs left for each posting at which rounds end.
-ROUNDS, LEFT_PER_POSTING = 6, 1.0
+ROUNDS, LEFT_PER_POSTING = 6, 4.0
 
 
 def components(spark: SparkSession, edges: DataFrame, cuts: Cuts) -> DataFrame:
@@ -41,7 +41,7 @@ def components(spark: SparkSession, edges: DataFrame, cuts: Cuts) -> DataFrame:
 
 def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts) -> tuple[DataFrame | None, int]:
     """((id, comp) of all ids with a link or None if there are none, the number of pairs verified)."""
-    live = cuts.cut(postings.select("sig", "id").distinct().join(_shared(postings), "sig", "left_semi").withColumn("comp", F.col("id")))
+    live = cuts.cut(postings.select("sig", "id").join(shared_sigs(postings), "sig", "left_semi").distinct().withColumn("comp", F.col("id")))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tested = 0
@@ -79,5 +79,6 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
     return labels, tested
 
 
-def _shared(postings: DataFrame) -> DataFrame:
+def shared_sigs(postings: DataFrame) -> DataFrame:
+    """The sigs of two ids or more."""
     return postings.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("sig")

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.common import read
+from cadenza.llm.decontaminate import contaminated
 from cadenza.llm.html_text import extract_main_text
 from cadenza.llm.language_id import identify
+from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.ngram_join import jaccard_components
+from cadenza.llm.pieces import encode_documents
 from cadenza.llm.topk import top_k
+from cadenza.llm.toxicity import score_documents
 from cadenza.llm.url_filter import filter_urls
 from cadenza.llm.warc import archive_round_trip
 
+#: A public byte-pair model with byte fallback.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The URL rules of the contract: verdict, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -28,10 +34,26 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark, read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(spark, read(spark, sf_dir, "documents"), MODEL)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -40,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_html_extraction, op6_exact_top_k, op7_warc, op9_url_filters, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id)}
 
 _RULES = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in URL_RULES)
 SQL = {
