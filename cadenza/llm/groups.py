@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import Cuts
@@ -21,30 +21,34 @@ ROUNDS, LEFT_PER_POSTING = 6, 4.0
 
 
 def components(spark: SparkSession, edges: DataFrame, cuts: Cuts) -> DataFrame:
-    """(id, comp) for every id in edges (a, b): comp is the smallest id reachable. Labels spread along edges,
-    then jump to their label's label, until nothing changes; every step is a join or a sum on the cluster."""
+    """(id, comp) for every id in edges (a, b): comp is the smallest id reachable. Labels spread along edges until nothing changes; every
+    third step they jump to their label's label instead, so chains take few steps. A step is one job of joins and sums on the cluster."""
     both = cuts.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cuts.cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
+    turn = 0
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("m"))
-        spread = labels.join(near, labels.id == near.a).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        spread = cuts.cut(spread)
-        root = spread.select(F.col("id").alias("root"), F.col("comp").alias("top"))
-        new = cuts.cut(spread.join(root, spread.comp == root.root).select("id", F.least("comp", "top").alias("comp"), (F.least("comp", "top") < F.col("old")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        cuts.drop(spread, labels)
-        labels = new.select("id", "comp")
-        if not moved:
+        turn += 1
+        if turn % 3:
+            near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("m"))
+            new = labels.join(near, labels.id == near.a)
+        else:
+            root = labels.select(F.col("id").alias("root"), F.col("comp").alias("m"))
+            new = labels.join(root, labels.comp == root.root)
+        moved = Observation()
+        changed = F.least("comp", "m") < F.col("comp")
+        new = cuts.cut(new.select("id", F.least("comp", "m").alias("comp"), changed.alias("moved")).observe(moved, F.sum(F.col("moved").cast("long")).alias("n"))).select("id", "comp")
+        cuts.drop(labels)
+        labels = new
+        if turn % 3 and not moved.get["n"]:
             cuts.drop(both)
             return labels
 
 
-def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts) -> tuple[DataFrame | None, int]:
-    """((id, comp) of all ids with a link or None if there are none, the number of pairs verified)."""
+def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts) -> DataFrame | None:
+    """(id, comp) of all ids with a link, or None if there are none."""
     live = cuts.cut(postings.select("sig", "id").join(shared_sigs(postings), "sig", "left_semi").distinct().withColumn("comp", F.col("id")))
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    tested = 0
     for turn in range(ROUNDS + 1):
         counts = live.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
         pairs_left, rows = counts.filter("same < n * n").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
@@ -60,7 +64,6 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
             pivot = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("comp").alias("comp_b"))).alias("p"))
             found = open_sigs.join(pivot, "sig").filter("comp <> p.comp_b").select(F.least("id", "p.b").alias("a"), F.greatest("id", "p.b").alias("b"))
         pairs = cuts.cut(found.distinct())
-        tested += pairs.count()
         linked = cuts.cut(verify(pairs))
         cuts.drop(pairs)
         if linked.limit(1).count():
@@ -76,7 +79,7 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
         cuts.drop(live)
         live = new
     cuts.drop(live)
-    return labels, tested
+    return labels
 
 
 def shared_sigs(postings: DataFrame) -> DataFrame:

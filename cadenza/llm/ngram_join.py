@@ -135,7 +135,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         sized = pairs.join(a, "a").join(b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
         return sized.filter(100 * both >= 80 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    labels, _ = resolve(spark, postings, verify, cuts)
+    labels = resolve(spark, postings, verify, cuts)
     cuts.drop(full, kept, alive)
     if labels is not None:
         reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
