@@ -106,6 +106,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The lines between surges and dives, joined by blank lines."""
     lines = page_lines(page or "")
+    if not lines:
+        return ""
     inside = any(x[2] for x in lines)
     # within an article all text counts, links too
     weights = np.array([(len(t) if a else 0) if inside else w for t, w, a in lines], dtype=np.int64)
