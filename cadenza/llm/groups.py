@@ -44,8 +44,8 @@ def components(spark: SparkSession, edges: DataFrame, cuts: Cuts) -> DataFrame:
             return labels
 
 
-def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts) -> DataFrame | None:
-    """(id, comp) of all ids with a link, or None if there are none."""
+def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts, left: float = LEFT_PER_POSTING) -> DataFrame | None:
+    """(id, comp) of all ids with a link, or None if there are none. Rounds of pivots end when at most `left` pairs are left for each posting; the result is the same for any."""
     live = cuts.cut(postings.select("sig", "id").join(shared_sigs(postings), "sig", "left_semi").distinct().withColumn("comp", F.col("id")))
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -54,7 +54,7 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
         pairs_left, rows = counts.filter("same < n * n").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if not pairs_left:
             break
-        last = turn == ROUNDS or pairs_left <= LEFT_PER_POSTING * rows
+        last = turn == ROUNDS or pairs_left <= left * rows
         open_sigs = live.join(counts.filter("same < n * n").select("sig"), "sig", "left_semi")
         if last:
             other = open_sigs.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
