@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import Cuts
@@ -44,9 +44,19 @@ def components(spark: SparkSession, edges: DataFrame, cuts: Cuts) -> DataFrame:
             return labels
 
 
-def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts, left: float = LEFT_PER_POSTING) -> DataFrame | None:
-    """(id, comp) of all ids with a link, or None if there are none. Rounds of pivots end when at most `left` pairs are left for each posting; the result is the same for any."""
-    live = cuts.cut(postings.select("sig", "id").join(shared_sigs(postings), "sig", "left_semi").distinct().withColumn("comp", F.col("id")))
+def resolve(
+    spark: SparkSession, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], cuts: Cuts, left: float = LEFT_PER_POSTING, may_link: Callable[[Column, Column], Column] | None = None
+) -> DataFrame | None:
+    """(id, comp) of all ids with a link, or None if there are none. Rounds of pivots end when at most `left` pairs are left for each posting; the result is the same for any.
+
+    Where may_link is given, postings also have a column info, the same for all postings of an id, and pairs for whose infos may_link is false are dropped as they are joined, before
+    they are shuffled: it may turn down only pairs that verify would turn down."""
+    own = ["info"] if may_link else []
+
+    def possible(a: str, b: str) -> Column:
+        return may_link(F.col(a), F.col(b)) if may_link else F.lit(True)
+
+    live = cuts.cut(postings.select("sig", "id", *own).join(shared_sigs(postings), "sig", "left_semi").distinct().withColumn("comp", F.col("id")))
     links: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(ROUNDS + 1):
@@ -57,12 +67,12 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
         last = turn == ROUNDS or pairs_left <= left * rows
         open_sigs = live.join(counts.filter("same < n * n").select("sig"), "sig", "left_semi")
         if last:
-            other = open_sigs.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            found = open_sigs.join(other, "sig").filter("id < b and comp <> comp_b").select(F.col("id").alias("a"), "b")
+            other = open_sigs.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias("info_b") for c in own])
+            found = open_sigs.join(other, "sig").filter("id < b and comp <> comp_b").filter(possible("info", "info_b")).select(F.col("id").alias("a"), "b")
         else:
             # one priority for all sigs, new each round, so that sigs of one group propose the same pivot
-            pivot = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("comp").alias("comp_b"))).alias("p"))
-            found = open_sigs.join(pivot, "sig").filter("comp <> p.comp_b").select(F.least("id", "p.b").alias("a"), F.greatest("id", "p.b").alias("b"))
+            pivot = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("b"), F.col("comp").alias("comp_b"), *own)).alias("p"))
+            found = open_sigs.join(pivot, "sig").filter("comp <> p.comp_b").filter(possible("info", "p.info")).select(F.least("id", "p.b").alias("a"), F.greatest("id", "p.b").alias("b"))
         pairs = cuts.cut(found.distinct())
         linked = cuts.cut(verify(pairs))
         cuts.drop(pairs)
@@ -71,7 +81,7 @@ def resolve(spark: SparkSession, postings: DataFrame, verify: Callable[[DataFram
             labels = components(spark, links, cuts)
         if last:
             break
-        new = live.drop("comp") if labels is None else live.join(labels.select("id", F.col("comp").alias("to")), "id", "left").select("sig", "id", F.coalesce("to", "id").alias("comp"))
+        new = live.drop("comp") if labels is None else live.join(labels.select("id", F.col("comp").alias("to")), "id", "left").select("sig", "id", *own, F.coalesce("to", "id").alias("comp"))
         if labels is None:
             new = new.withColumn("comp", F.col("id"))
         # a sig of two members is done once its only pair is verified
