@@ -99,6 +99,21 @@ def test_fuzzy_lines(spark):
     assert len(out[2].split("\n")) <= 20
 
 
+def test_one_changed_word_is_found_in_lines_of_any_length(spark):
+    rng = random.Random(4)
+    texts, unlike = {}, ["yes", "something that is not like any of the others"]
+    for words in (3, 6, 10, 27, 60, 150):
+        lines = [[f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(10**4)}" for _ in range(words)] for _ in range(20)]
+        at = words // 2
+        swapped = [[*x[:at], x[at][:-1] + "x" if words < 6 else "other", *x[at + 1 :]] for x in lines]
+        longer = [[*x[:at], "an" if words > 3 else "a", *x[at:]] for x in lines]
+        texts |= {1000 * k + words: "\n".join(map(" ".join, x)) for k, x in enumerate((lines, swapped, longer))}
+    x = docs(spark, [*texts.items(), (9000, "\n".join(unlike))])
+    out = {r["doc_id"]: [y for y in r["text"].split("\n") if y] for r in dedup_lines(spark, x).collect()}
+    assert out.pop(9000) == unlike
+    assert {i: len(y) for i, y in out.items()} == {i: 20 if i < 1000 else 0 for i in texts}
+
+
 def test_pieces_equal_the_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     other, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), Transducer.load(MODEL)
