@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question and its re-parameterised copy have the same template. Windows of five
-template tokens are joined on their hash with those of the benchmark. A document is contaminated with an item if it has at least 0.8 of the
-item's windows and its slots are filled consistently: each value of the item's slots stands for one value in the document.
+template tokens are joined on their hash with those of the benchmark; an item of fewer tokens is one window of its own length. A document is contaminated
+with an item if it has at least 0.8 of the item's windows and its slots are filled consistently at one place: each value of the item's slots stands for one
+value there.
 """
 
 from __future__ import annotations
@@ -46,30 +47,34 @@ class _Hashes(dict):
         return h
 
 
-def windows(text: str | None, memo: _Hashes) -> tuple[list[str], np.ndarray]:
-    """Tokens of a whole text and the hash of the window at each place; fewer tokens than a window make one."""
+def windows(text: str | None, memo: _Hashes, lengths: list[int] | None = None) -> tuple[list[str], list[tuple[int, np.ndarray]]]:
+    """Tokens of a whole text, and for each length of windows the hash of the window at each place. Without lengths it is WINDOW, or all tokens if they are fewer."""
     tokens = _TOKEN.findall(_NAMED.sub(MARK, text)) if text else []
     if not tokens:
-        return tokens, np.empty(0, dtype=np.int64)
+        return tokens, []
     if len(memo) > MEMO:
         memo.clear()
     h = np.array([memo[t] for t in tokens], dtype=np.uint64)
-    n = max(1, len(tokens) - WINDOW + 1)
-    total = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(min(WINDOW, len(tokens))):
-            total += h[i : i + n] * _MULTIPLIERS[i]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-    return tokens, (total ^ (total >> np.uint64(32))).view(np.int64)
-
-
-def _slots(tokens: list[str], at: int) -> list[str]:
+    found = []
+    for length in lengths if lengths is not None else [min(WINDOW, len(tokens))]:
+        if (n := len(tokens) - length + 1) < 1:
+            continue
+        total = np.zeros(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(length):
+                total += h[i : i + n] * _MULTIPLIERS[i]
+            total ^= total >> np.uint64(29)
+            total *= np.uint64(0xBF58476D1CE4E5B9)
+        found.append((length, (total ^ (total >> np.uint64(32))).view(np.int64)))
+    return tokens, found
+
+
+def _slots(tokens: list[str], at: int, length: int) -> list[str]:
     """Values of the slots of the window at a place."""
-    return [t for t in tokens[at : at + WINDOW] if canonical(t) in (NAME, NUM, UNIT)]
+    return [t for t in tokens[at : at + length] if canonical(t) in (NAME, NUM, UNIT)]
 
 
-def _explode(known: np.ndarray | None):
+def _explode(known: np.ndarray | None, lengths: list[int] | None = None):
     """Windows with their slot values; those in the sorted array `known` only, if it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,26 +82,67 @@ def _explode(known: np.ndarray | None):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids, places, hashes, slots = [], [], [], []
+                ids, places, hashes, slots, sizes = [], [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens, h = windows(text, memo)
-                    if known is None:
-                        at = range(len(h))
-                    elif len(known) and len(h):
-                        at = np.nonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)[0].tolist()
-                    else:
-                        at = ()
-                    for i in at:
-                        ids.append(key)
-                        places.append(i)
-                        hashes.append(int(h[i]))
-                        slots.append(_slots(tokens, i))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["id", "place", "h", "slots"])
+                    tokens, found = windows(text, memo, lengths)
+                    for length, h in found:
+                        if known is None:
+                            at = range(len(h))
+                        elif len(known):
+                            at = np.nonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)[0].tolist()
+                        else:
+                            at = ()
+                        for i in at:
+                            ids.append(key)
+                            places.append(i)
+                            hashes.append(int(h[i]))
+                            slots.append(_slots(tokens, i, length))
+                            sizes.append(length)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32())], ["id", "place", "h", "slots", "length"])
 
     return run
 
 
-_WINDOWS = "id long, place int, h long, slots array<string>"
+_WINDOWS = "id long, place int, h long, slots array<string>, length int"
+
+
+def consistency(matches: pa.Table) -> float:
+    """How consistently a document fills an item's slots where it does so best, of matches (place, item_place, slots, item_slots).
+
+    Each distance between a match's places is tried as where the item begins: each window of the item counts at its match nearest to there, so words put in or left out
+    only move what follows. Each slot is a vote for a value of the item and the document's value for it; the share of votes for each value's commonest counterpart counts.
+    """
+    code: dict[str, int] = {}
+    places: dict[tuple, list[tuple[int, list[int]]]] = {}
+    for place, at, have, want in zip(*(matches.column(c).to_pylist() for c in ("place", "item_place", "slots", "item_slots")), strict=True):
+        places.setdefault((at, *(x.lower() for x in want)), []).append((place - at, [code.setdefault(x.lower(), len(code)) for x in have]))
+    starts, best = np.unique([d for found in places.values() for d, _ in found]), 0.0
+    for first in range(0, len(starts), 4096):
+        begin = starts[first : first + 4096]
+        votes: dict[str, list[np.ndarray]] = {}
+        for (_, *want), found in places.items():
+            found.sort()
+            at = np.array([d for d, _ in found])
+            right = np.minimum(np.searchsorted(at, begin), len(at) - 1)
+            left = np.maximum(right - 1, 0)
+            nearest = np.where(np.abs(at[left] - begin) <= np.abs(at[right] - begin), left, right)
+            values = np.array([x for _, x in found])[nearest]
+            for k, x in enumerate(want):
+                votes.setdefault(x, []).append(values[:, k])
+        most, total = np.zeros(len(begin)), 0
+        for x in votes.values():
+            ordered = np.sort(np.array(x), axis=0)
+            run, longest = np.ones(len(begin)), np.ones(len(begin))
+            for a, b in zip(ordered, ordered[1:]):
+                run = np.where(a == b, run + 1, 1)
+                longest = np.maximum(longest, run)
+            most, total = most + longest, total + len(x)
+        best = max(best, float((most / total).max()))
+    return best
+
+
+def _judged(key: tuple, matches: pa.Table) -> pa.Table:
+    return pa.table({"id": [key[0].as_py()], "item_id": [key[1].as_py()], "consistency": [consistency(matches)]})
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -106,21 +152,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     slots. A benchmark of more than BROADCAST_WINDOWS windows is joined by a shuffle, with the same result.
     """
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
-    wanted = items.mapInArrow(_explode(None), _WINDOWS).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
+    wanted = items.mapInArrow(_explode(None), _WINDOWS).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), "length")
     totals = wanted.groupBy("item_id").agg(F.countDistinct("h").alias("windows"))
     hashes = wanted.select("h").distinct()
+    lengths = sorted(r["length"] for r in wanted.select("length").distinct().collect())
     known = None
     if small_enough(hashes, BROADCAST_WINDOWS):
         known = np.sort(np.array([r["h"] for r in hashes.collect()], dtype=np.int64))
-    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_explode(known), _WINDOWS)
-    pairs = Cuts(spark, "decontaminate").cut(found.join(F.broadcast(wanted) if known is not None else wanted, "h"))
+    found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_explode(known, lengths), _WINDOWS)
+    pairs = Cuts(spark, "decontaminate").cut(found.join(F.broadcast(wanted) if known is not None else wanted, ["h", "length"]))
     shared = pairs.groupBy("id", "item_id").agg(F.countDistinct("h").alias("shared"))
     likely = shared.join(totals, "item_id").filter(F.col("shared") >= F.col("windows") * SIMILAR)
-    # one vote for each filled slot of each shared window: a value of the item, and the value that the document has there
-    filled = pairs.filter(F.size("slots") > 0).join(likely.select("id", "item_id"), ["id", "item_id"], "left_semi").select("id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    votes = filled.groupBy("id", "item_id", F.lower("s.item_slots").alias("want"), F.lower("s.slots").alias("have")).count()
-    most = votes.groupBy("id", "item_id", "want").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
-    agree = most.groupBy("id", "item_id").agg((F.sum("most") / F.sum("all")).alias("consistency"))
+    filled = pairs.filter(F.size("slots") > 0).join(likely.select("id", "item_id"), ["id", "item_id"], "left_semi").select("id", "item_id", "place", "item_place", "slots", "item_slots").distinct()
+    agree = filled.groupBy("id", "item_id").applyInArrow(_judged, "id long, item_id long, consistency double")
     out = likely.join(agree, ["id", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     return out.filter(F.col("consistency") >= CONSISTENT).select(F.col("id").alias("doc_id"), "item_id", "shared", "windows", "consistency")
 

@@ -199,6 +199,16 @@ def test_leaks_and_reparameterised_leaks(spark):
     assert {r["doc_id"] for r in contaminated(spark, x, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()} == {1, 2}
 
 
+def test_leaks_of_repeated_windows_of_one_template_and_of_short_items(spark):
+    items = ["Add 3, 5, 7, 9, 11, 13, 15, 17 and 19 together", "A farmer has 12 cows and buys 7 more, how many cows does he have now?", "A farmer has 31 cows and buys 4 more, how many cows does he have now?", "Name three primes"]
+    again = items[1].replace("12", "80").replace("7", "6")
+    texts = ["Before. " + items[0] + ". After that, more.", f"First: {items[1]} Then: {again}", f"{items[1]}\n{items[2]}", "He said: name three primes, please, and then more", items[0].replace("9,", "well 9,"), "Add 3, 5, 7 and 9 to something else"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["consistency"] for r in contaminated(spark, docs(spark, list(enumerate(texts, 1))), bench).collect()}
+    assert {(1, 1), (2, 2), (3, 2), (3, 3), (4, 4)} <= set(got) and not any(i == 6 for i, _ in got)
+    assert got[1, 1] == got[2, 2] == got[3, 2] == got[3, 3] == got[4, 4] == 1.0
+
+
 def test_pipeline_keeps_its_stages_decisions(spark):
     import corpus_pipeline as P
 
