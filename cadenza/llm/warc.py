@@ -25,7 +25,8 @@ CRLF = "\r\n"
 FIELDS = "archive string, kind string, start long, length long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, note string"
 _SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in FIELDS.split(", "))])
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_URN = "urn:page:"
+_BEGINS = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_URN, _NO_ID = "urn:page:", "none"
 
 
 def record_text(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column, date: str = "2026-01-01T00:00:00Z") -> Column:
@@ -37,7 +38,7 @@ def record_text(page_id: Column, url: Column, payload: Column, digest: Column, r
     profile = F.when(refers_to.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <{_URN}"), refers_to.cast("string"), F.lit(f">{CRLF}")))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", " ")
     return F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: <{_URN}"), page_id.cast("string"), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), clean,
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: <{_URN}"), F.coalesce(page_id.cast("string"), F.lit(_NO_ID)), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), clean,
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), digest, F.lit(CRLF), profile,
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block,
     )
@@ -45,7 +46,7 @@ def record_text(page_id: Column, url: Column, payload: Column, digest: Column, r
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a record for each row of pages (page_id, url, html). Of equal payloads of LEAST_BYTES or more, the row with the smallest page_id
-    holds the payload; the others revisit it."""
+    holds the payload; the others revisit it. Rows with a null page_id are responses with an id of their own kind."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     copies = rows.filter(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
@@ -61,6 +62,7 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 def _urn(value: str) -> int | None:
+    """The page of a record's id; a record of a row without one names none."""
     found = re.fullmatch(rf"<{_URN}(-?\d+)>", value)
     return int(found[1]) if found else None
 
@@ -85,60 +87,58 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | str:
     kind = fields.get("warc-type")
     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or told != str(len(payload))):
         return "payload doesn't match its digest"
-    page = _urn(fields.get("warc-record-id", ""))
-    if page is None or kind not in ("response", "revisit"):
+    name = fields.get("warc-record-id", "")
+    page = _urn(name)
+    if page is None and name != f"<{_URN}{_NO_ID}>" or kind not in ("response", "revisit"):
         return "no known type or id"
     return {"kind": "record", "page_id": page, "record_type": kind, "refers_to": _urn(fields.get("warc-refers-to", "")), "payload_digest": digest, "payload_bytes": int(told) if told.isdigit() else None, "payload": payload if kind == "response" else None}, end + 4
 
 
-def _plain(data: bytes) -> Iterator[dict]:
-    at = 0
-    while at < len(data):
-        got = _record(data, at)
-        if isinstance(got, str):
-            # the next place from which a whole record can be read
-            nxt = _VERSION.search(data, at + 1)
-            while nxt and isinstance(_record(data, nxt.start()), str):
-                nxt = _VERSION.search(data, nxt.start() + 1)
-            end = nxt.start() if nxt else len(data)
-            yield {"kind": "gap", "start": at, "length": end - at, "note": got}
-            at = end
-        else:
-            yield got[0] | {"start": at, "length": got[1] - at}
-            at = got[1]
+_MEMBER = b"\x1f\x8b\x08"
+
 
+def _member(data: bytes, at: int) -> tuple[list[dict], int] | str:
+    """The records and gaps of the gzip member at a place and its end, or what is wrong with it."""
+    unzip = zlib.decompressobj(31)
+    try:
+        raw = unzip.decompress(memoryview(data)[at:])
+    except zlib.error:
+        return "member is broken"
+    if not unzip.eof:
+        return "member is broken"
+    end = len(data) - len(unzip.unused_data)
+    return [row | {"start": at, "length": end - at} for row in _rows(raw, False)], end
 
-def _members(data: bytes) -> Iterator[dict]:
+
+def _at(data: bytes, at: int, members: bool) -> tuple[list[dict], int] | str:
+    """What can be read at a place, be it a plain record or a member, and its end, or what is wrong there."""
+    if members and data.startswith(_MEMBER, at):
+        return _member(data, at)
+    got = _record(data, at)
+    return got if isinstance(got, str) else ([got[0] | {"start": at, "length": got[1] - at}], got[1])
+
+
+def _rows(data: bytes, members: bool) -> Iterator[dict]:
+    """Records and gaps in order; after a failed check the search goes on to the next place from which a whole record or, if wanted, member can be read."""
+    begins = _BEGINS if members else _VERSION
     at = 0
-    gap, why = None, ""
     while at < len(data):
-        got: list[dict] | None = None
-        if data[at : at + 3] == b"\x1f\x8b\x08":
-            unzip = zlib.decompressobj(31)
-            try:
-                raw = unzip.decompress(data[at:])
-                got = list(_plain(raw)) if unzip.eof else None
-            except zlib.error:
-                got = None
-        if got is None:
-            gap, why = (at if gap is None else gap), why or "member is broken"
-            nxt = data.find(b"\x1f\x8b\x08", at + 1)
-            at = nxt if nxt > 0 else len(data)
-            continue
-        if gap is not None:
-            yield {"kind": "gap", "start": gap, "length": at - gap, "note": why}
-            gap, why = None, ""
-        end = len(data) - len(unzip.unused_data)
-        for row in got:
-            yield row | {"start": at, "length": end - at}
-        at = end
-    if gap is not None:
-        yield {"kind": "gap", "start": gap, "length": len(data) - gap, "note": why}
+        got = _at(data, at, members)
+        if isinstance(got, str):
+            why, nxt = got, begins.search(data, at + 1)
+            while nxt and isinstance(got := _at(data, nxt.start(), members), str):
+                nxt = begins.search(data, nxt.start() + 1)
+            end = nxt.start() if nxt else len(data)
+            yield {"kind": "gap", "start": at, "length": end - at, "note": why}
+            if not nxt:
+                return
+        yield from got[0]
+        at = got[1]
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive in order; together they cover every byte."""
-    return _members(data) if data[:2] == b"\x1f\x8b" else _plain(data)
+    """Records and gaps of an archive in order, whether it is plain, gzipped by member or both; records of one member have its place and length."""
+    return _rows(data, True)
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "part-*", payloads: bool = True) -> DataFrame:
@@ -165,7 +165,7 @@ def read_archives(spark: SparkSession, path: str, pattern: str = "part-*", paylo
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages (page_id, url, html) as archives into the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A null html is an empty payload. Payloads under LEAST_BYTES bytes are responses, equal or not; so are repeated rows of the smallest page_id. Very
+    A null html is an empty payload; a null page_id stays null, as response. Payloads under LEAST_BYTES bytes are responses, equal or not; so are repeated rows of the smallest page_id. Very
     long payloads need memory for one archive file. Other columns are ignored; an empty table gives an empty result.
     """
     path = Cuts(spark, "warc").path()

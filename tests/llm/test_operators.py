@@ -170,6 +170,21 @@ def test_salvage(pack):
     assert [r.get("page_id") for r in got] == [0, None, 2, None] and sum(r["length"] for r in got) == len(data)
 
 
+@pytest.mark.parametrize("before", [b"junk", b""])
+def test_salvage_after_a_broken_beginning(before):
+    parts = [gzip.compress(record(i, b"payload %d" % i)) for i in range(3)]
+    data = before + b"\x00\x00" + parts[0][2:] + parts[1] + record(7, b"plain \x1f\x8b\x08") + parts[2]
+    got = list(salvage(data))
+    assert [r.get("page_id") for r in got] == [None, 1, 7, 2] and sum(r["length"] for r in got) == len(data)
+
+
+def test_warc_keeps_rows_without_an_id(spark):
+    long = "<p>" + "x" * 100
+    rows = [(None, "a", long), (1, "b", long), (2, "c", long), (None, "d", "short")]
+    got = archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=str) == [(0, 103, "response", None), (0, 5, "response", None), (1, 103, "response", None), (2, 103, "revisit", 1)]
+
+
 def test_url_rules(spark):
     urls = ["http://A.com/en/1", "https://x.example.com/en/7x?q", "http://example.net/de/8/", "http://b.net/de/8", "ftp://c.org", "http://notcom/en/", None, "nothing", "http://z.org?/es/"]
     x = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
