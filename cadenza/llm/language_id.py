@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import Cuts, held_out
 
-#: Rows sampled for each language at most (about), and words and n-grams kept for each language; these bound the fit and what is broadcast.
+#: Rows sampled for each language at most (about), and words and n-grams kept for each language; these bound the fit and what is broadcast. Of more than
+#: LANGUAGES languages each keeps fewer, as the model has a score for each of its grams in each language; LEAST_KEPT at least.
 FIT_ROWS, KEPT_WORDS, KEPT_GRAMS = 1000, 20_000, 10_000
-LONGEST, MEMO, LANGUAGES = 4, 200_000, 64
+LONGEST, MEMO, LANGUAGES, LEAST_KEPT = 4, 200_000, 64, 100
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,9 +70,9 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> Model:
-    """Learn from a sample of about FIT_ROWS rows a language (doc_id, text, lang) by a hash of the id."""
+    """Learn every language from a sample of about FIT_ROWS rows each (doc_id, text, lang) by a hash of the id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return Model([], [], {})
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, FIT_ROWS / r["count"]))])
@@ -79,8 +80,10 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
     grams = chosen.select("lang", "text").mapInArrow(_counts, "lang string, size long, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     grams = Cuts(spark, "language").cut(grams)
     totals = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    fewer = min(1.0, (LANGUAGES / len(sizes)) ** 2)
+    words, ngrams = (max(LEAST_KEPT, int(n * fewer)) for n in (KEPT_WORDS, KEPT_GRAMS))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    best = grams.filter("n > 1 or size > 0").withColumn("r", rank).filter(F.col("r") <= F.when(F.col("size") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)).filter(F.col("r") <= KEPT_WORDS)
+    best = grams.filter("n > 1 or size > 0").withColumn("r", rank).filter(F.col("r") <= F.when(F.col("size") == 0, words).otherwise(ngrams))
     rows = [(r["lang"], r["size"], r["gram"], r["n"]) for r in best.select("lang", "size", "gram", "n").collect()]
     return Model(sorted(r["lang"] for r in sizes), rows, totals)
 

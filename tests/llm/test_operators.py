@@ -138,6 +138,13 @@ def test_held_out_accuracy(spark):
     assert tox.filter("toxic = 1").agg(F.avg("predicted")).first()[0] > 0.6
 
 
+def test_more_than_64_languages_are_learned(spark):
+    names = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"]
+    rows = [(10 * k + i, " ".join([x * 3] * 5), x) for k, x in enumerate(names) for i in range(10)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: x for i, _, x in rows}
+
+
 def test_main_text():
     page = "<html><head><title>T</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Ti&amp;tle</h1><p><b>one <i>two</i><br><p>three</p><div class=comments>no</div></article><footer>f</footer>"
     assert main_text(page) == "Ti&tle\n\none two\n\nthree"
