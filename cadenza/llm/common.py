@@ -14,19 +14,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share. Where the session names none, a temporary one serves a local session; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Cuts:
-    """Tables written to the shared folder to cut lineage; `drop` removes the ones no longer needed."""
+    """Tables written to the shared folder to cut lineage. `drop` removes single ones; what is left can be removed by `close`."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.places: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self) -> str:
         self.n += 1
@@ -35,13 +38,24 @@ class Cuts:
     def cut(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.places[id(out)] = (out, path)
+        return out
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def drop(self, *frames: DataFrame | None) -> None:
+        """Remove the tables of these frames, as returned by `cut`; None and other frames are passed over."""
         for df in frames:
-            for name in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            if (found := self.places.pop(id(df), None)) is not None:
+                self._delete(found[1])
+
+    def close(self) -> None:
+        """Remove every table of these cuts."""
+        self.places.clear()
+        self._delete(self.base)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,11 +63,6 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def hashed_share(key: Column, seed: int, share: float) -> Column:
-    """A repeatable choice of about `share` of the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most `rows` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

@@ -3,15 +3,16 @@
 1. Each text becomes its set of five-word shingles, hashed to 64 bits; equal sets become one.
 2. In hash order, linked sets share at least k tokens of their prefixes extended by k - 1 (k about 8 % of
    the set). Sets whose extended prefix shares fewer tokens than that with any other set can't link and leave.
-3. The sets that remain are counted exactly, and their tokens ordered by frequency, then hash. Rare tokens of
-   the prefix are indexed singly. Frequent tokens are indexed only as combinations of two neighbours in
-   that order, over a prefix so much longer that a linked pair without a common rare prefix token must agree
-   in at least one combination.
-4. Candidates are verified exactly, by pivots (groups.py).
+3. The sets that remain are counted exactly, and their tokens ordered by frequency, then hash. A set meets partners of each class of sizes by
+   keys of their own, as the least overlap, and so the prefix, goes by both sizes. Rare tokens of the prefix are indexed singly. Frequent tokens are
+   indexed only as combinations of neighbours in that order, two of them or, of very frequent ones, three, over a prefix so much longer that a linked
+   pair without a common rare prefix token must agree in at least one combination.
+4. Candidates whose shared tokens can still reach the overlap are verified exactly, by pivots (groups.py).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import Cuts, small_enough
 from cadenza.llm.groups import resolve
 
-#: Shingle length in words; the share of a set by which the first prefix is extended; from this many sets on a token is frequent.
-WORDS, EXTENSION, FREQUENT = 5, 0.08, 32
+#: Shingle length in words; the share of a set by which the first prefix is extended; from more than so many sets on a token is frequent, and very frequent;
+#: ratio of the sizes of neighbouring classes.
+WORDS, EXTENSION, FREQUENT, VERY_FREQUENT, RATIO = 5, 0.08, 32, 1024, 1.1
+#: Words of 64 bits of a set's parities.
+PARITY = 4
+_MARKS = [f"m{i}" for i in range(PARITY)]
 #: Ids broadcast at most (16 MB); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -84,15 +89,74 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["id", "h"])
 
 
-def _signatures(tokens: Column, n: Column, unique: Column) -> Column:
-    """Of tokens (df, h) sorted by frequency without the `unique` ones, which come first and match nothing."""
-    prefix = n - F.ceil(n * 4 / 5) + 1 - unique
-    longer = prefix + F.floor(n / 4) + 1
-    rare = F.filter(F.slice(tokens, 1, F.greatest(prefix, F.lit(0)).cast("int")), lambda t: t["df"] <= FREQUENT)
-    often = F.filter(F.slice(tokens, 1, F.greatest(longer, F.lit(0)).cast("int")), lambda t: t["df"] > FREQUENT)
-    follow = F.slice(often, 2, F.greatest(F.size(often) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(often, follow, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a["h"], b["h"]))), lambda x: x.isNotNull())
-    return F.concat(F.transform(rare, lambda t: t["h"]), pairs)
+def _class(n: int) -> int:
+    return math.floor(math.log(n) / math.log(RATIO))
+
+
+def signatures(df: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The keys of a set of n tokens, given those (frequency, hash) it shares with any set, rarest first; the others come before them and match nothing.
+
+    For each class of partners' sizes: sets of n and m tokens link if they share a = 4/9 (n + m) or more. Of the first l common tokens each lies among the first
+    n - a + l of the set. l = 1 gives the prefix for single tokens. At most d = (n + m) / 9 tokens lie in one set only; each of them parts two neighbours at most once, three twice, so
+    of d + 2 common tokens two neighbours stay together, and of 2 d + 4 two or, where there are very frequent ones, three.
+    """
+    common = len(h)
+    unique = n - common
+    keys = []
+    biggest = min(5 * n // 4, 9 * common // 4 - n)
+    smallest = -(-4 * n // 5)
+    if biggest < smallest:
+        return np.empty(0, dtype=np.int64)
+    u = h.view(np.uint64)
+    two, three = (df > FREQUENT) & (df <= VERY_FREQUENT), df > VERY_FREQUENT
+    own = _class(n)
+    single = np.nonzero(df <= FREQUENT)[0]
+    at2, at3 = np.nonzero(two)[0], np.nonzero(three)[0]
+    with np.errstate(over="ignore"):
+        pairs = _mix(u[at2[:-1]] * _MULTIPLIERS[0] + u[at2[1:]] * _MULTIPLIERS[1]) if len(at2) > 1 else u[:0]
+        triples = _mix(u[at3[:-2]] * _MULTIPLIERS[0] + u[at3[1:-1]] * _MULTIPLIERS[1] + u[at3[2:]] * _MULTIPLIERS[2]) if len(at3) > 2 else u[:0]
+        for other in range(_class(smallest), _class(biggest) + 1):
+            low, high = max(smallest, math.ceil(RATIO**other * (1 - 1e-9))), min(biggest, math.floor(RATIO ** (other + 1) * (1 + 1e-9)))
+            if low > high:
+                continue
+            prefix = n - -(-4 * (n + low) // 9) + 1 - unique
+            apart = (n + high) // 9
+            longer = prefix - 1 + (2 * apart + 4 if len(at3) else apart + 2)
+            found = [u[single[single < prefix]], pairs[at2[1:] < longer] if len(pairs) else pairs, triples[at3[2:] < longer] if len(triples) else triples]
+            place = np.uint64(min(own, other) * 4096 + max(own, other) + 1)
+            keys += [_mix(x ^ (place * _MULTIPLIERS[3 + (k > 0)] + np.uint64(k))) for k, x in enumerate(found) if len(x)]
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """64 PARITY bits: for each place that a token's hash may name, whether an odd number of tokens name it. Sets differ in as many tokens as bits, or more."""
+    odd = np.bincount((h.view(np.uint64) >> np.uint64(48)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, id, info) of sets (id, n, df, h)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            df, h = part.column(2), part.column(3)
+            ends, flat_df, flat_h = df.offsets.to_numpy(), df.values.to_numpy(), h.values.to_numpy()
+            starts_h = h.offsets.to_numpy()
+            ns = part.column(1).to_numpy()
+            got = [signatures(flat_df[ends[i] : ends[i + 1]], flat_h[starts_h[i] : starts_h[i + 1]], int(ns[i])) for i in range(part.num_rows)]
+            times = [len(x) for x in got]
+            common = np.diff(ends)
+            marks = np.array([parity(flat_h[starts_h[i] : starts_h[i + 1]]) for i in range(part.num_rows)]).reshape(-1, PARITY)
+            columns = [ns, common.astype(np.int64), *marks.T]
+            info = pa.StructArray.from_arrays([pa.array(np.repeat(c, times)) for c in columns], ["n", "common", *_MARKS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.empty(0, dtype=np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), times)), info], ["sig", "id", "info"])
+
+
+def _may_link(a: Column, b: Column) -> Column:
+    """Whether sets may differ in so few tokens as a link allows. They differ in those that no other set has, and in one at least for each bit of the parities."""
+    both = a["n"] + b["n"]
+    bits = sum((F.bit_count(a[m].bitwiseXOR(b[m])).cast("long") for m in _MARKS), F.lit(0).cast("long"))
+    return (9 * F.least(a["common"], b["common"]) >= 4 * both) & (both - a["common"] - b["common"] + bits <= F.floor(both / 9))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -120,23 +184,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # 3. exact frequencies among these, and signatures
     ids = alive.select("id")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    full = rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_tokens, "id long, h long")
-    full = cuts.cut(full)
+    full = cuts.cut(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_tokens, "id long, h long"))
     df = full.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    kept = full.join(df, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("tokens"))
-    kept = cuts.cut(kept.join(alive, "id").filter(F.size("tokens") >= F.ceil(F.col("n") * 4 / 5)))
-    postings = kept.select("id", F.explode(_signatures(F.col("tokens"), F.col("n"), F.col("n") - F.size("tokens"))).alias("sig"))
-    words = kept.select("id", "n", F.transform("tokens", lambda t: t["h"]).alias("hs"))
+    kept = full.join(df, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("t"))
+    kept = kept.join(alive, "id").filter(F.size("t") >= F.ceil(F.col("n") * 4 / 5))
+    kept = cuts.cut(kept.select("id", "n", F.transform("t", lambda t: t["df"]).alias("df"), F.transform("t", lambda t: t["h"]).alias("h")))
+    cuts.drop(full, alive)
+    postings = cuts.cut(kept.mapInArrow(_postings, "sig long, id long, info struct<n:long,common:long," + ",".join(f"{m}:long" for m in _MARKS) + ">"))
+    words = kept.select("id", "n", "h")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = words.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
-        b = words.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+        a = words.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+        b = words.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
         both = F.size(F.array_intersect("ha", "hb"))
-        sized = pairs.join(a, "a").join(b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-        return sized.filter(100 * both >= 80 * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").filter(100 * both >= 80 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    labels = resolve(spark, postings, verify, cuts)
-    cuts.drop(full, kept, alive)
+    labels = resolve(spark, postings, verify, cuts, _may_link, lambda info: 1 - info["common"] / info["n"])
+    cuts.drop(kept, postings)
     if labels is not None:
         reps = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     else:
