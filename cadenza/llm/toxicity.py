@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters are words of a lexicon and patterns (words and beginnings of words) found far more often in rows labelled toxic. A generative label
-model, fitted by expectation maximisation to the votes, estimates how often each voter fires on toxic and on other texts; voters that fire
-together within a class more than independence allows share their weight. A linear classifier on counts of votes is then
-trained on the model's posterior labels, and scores every text.
+Voters are words of a lexicon and patterns (words and beginnings of words) found significantly more often in texts labelled toxic, or in texts labelled clean. A
+generative label model, fitted by expectation maximisation to the votes, estimates each voter's accuracy, that is how often it fires on toxic and on clean texts, and
+the correlations of voters within both classes: a voter's rates depend on one other voter, chosen as the forest of the highest conditional mutual
+information. A linear classifier on counts of votes is then trained on the model's posterior labels, and scores every text.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import held_out
+from cadenza.llm.common import Cuts, held_out, small_enough
 
-#: Labelled rows sampled for each label (about), by a hash of the id: the bound of the fit. Pattern voters at most; memo entries of a worker.
-FIT_ROWS, PATTERNS, MEMO, THRESHOLD = 4000, 60, 400_000, 0.3
-#: Lengths of beginnings of words that may be patterns, and the least toxic texts with one, and its least odds.
-STEMS, LEAST_TEXTS, LEAST_ODDS = (4, 5, 6), 12, 20.0
-ROUNDS = 30
+#: Distinct labelled texts sampled for each label (about), by a hash of the id: the bound of the fit. Pattern voters for toxic and for clean texts at most; memo
+#: entries of a worker.
+FIT_ROWS, PATTERNS, CLEAN_PATTERNS, MEMO, THRESHOLD = 4000, 60, 20, 400_000, 0.3
+#: Lengths of beginnings of words that may be patterns; the odds that a pattern has at least, so many standard errors below its own odds. Both hold for samples of any size.
+STEMS, LEAST_ODDS, ERRORS = (4, 5, 6), 5.0, 2.0
+#: Rounds of the label model, those after which its correlations are chosen anew, and the least conditional information of two voters over all texts, in nats.
+ROUNDS, CHOSEN, LEAST_INFORMATION = 30, (4, 12), 8.0
 #: Common English insults.
 LEXICON = "bastard clown coward crap damn disgusting dumb filthy freak garbage hate hideous idiot imbecile jerk kill loser lunatic moron nasty pathetic pig rotten scum shut stupid sucks trash ugly useless vermin vile worthless".split()
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,6 +39,7 @@ class Voters:
 
     words: dict[str, int]
     stems: dict[str, int]
+    clean: frozenset[int] = frozenset()
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __len__(self) -> int:
@@ -77,47 +80,90 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_voters(sample: DataFrame, sizes: dict[int, int]) -> Voters:
-    """The lexicon, and the patterns of the sample (toxic, text) that speak most for toxic texts; beginnings stand for their longer forms."""
+    """The lexicon, and the patterns of the sample (toxic, text) that speak most for either class; beginnings stand for their longer forms."""
     counts = sample.select("toxic", "text").mapInArrow(_candidates, "toxic int, gram string, whole boolean, n long")
     wide = counts.groupBy("gram", "whole").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
-    odds = ((F.col("n1") + 0.5) / (sizes.get(1, 0) + 1)) / ((F.col("n0") + 0.5) / (sizes.get(0, 0) + 1))
-    best = wide.filter(F.col("n1") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).withColumn("gain", F.col("n1") * F.log("odds"))
-    found = best.orderBy(F.desc("gain"), "gram", "whole").limit(4 * PATTERNS).select("gram", "whole").collect()
-    words, stems = {}, {}
-    for w in LEXICON:
-        words[w] = len(words)
-    for r in found:
-        if len(words) + len(stems) >= len(LEXICON) + PATTERNS:
-            break
-        covered = any(r["gram"].startswith(s) or not r["whole"] and s.startswith(r["gram"]) for s in stems) or not r["whole"] and any(w.startswith(r["gram"]) for w in words)
-        if not covered and r["gram"] not in words:
-            (words if r["whole"] else stems)[r["gram"]] = len(words) + len(stems)
-    return Voters(words, stems)
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """Posterior toxicity of each row of votes (rows by voters, 0 or 1). The given label is one more voter, of an accuracy to be estimated like
-    the others'; a voter that stays silent abstains, and silence of all of them is evidence by itself."""
-    quiet = votes.sum(axis=1) == 0
+    words, stems = {w: k for k, w in enumerate(LEXICON)}, {}
+    clean: set[int] = set()
+    for own, other, most in ((1, 0, PATTERNS), (0, 1, CLEAN_PATTERNS)):
+        mine, theirs = F.col(f"n{own}") + 0.5, F.col(f"n{other}") + 0.5
+        odds = F.log(mine / (sizes.get(own, 0) + 1) / (theirs / (sizes.get(other, 0) + 1)))
+        sure = wide.withColumn("least", odds - ERRORS * F.sqrt(1 / mine + 1 / theirs)).filter(F.col("least") >= math.log(LEAST_ODDS)).withColumn("gain", F.col(f"n{own}") * odds)
+        begin = len(words) + len(stems)
+        for r in sure.orderBy(F.desc("gain"), "gram", "whole").limit(4 * most).select("gram", "whole").collect():
+            if len(words) + len(stems) >= begin + most:
+                break
+            covered = any(r["gram"].startswith(s) or not r["whole"] and s.startswith(r["gram"]) for s in stems) or not r["whole"] and any(w.startswith(r["gram"]) for w in words)
+            if not covered and r["gram"] not in words:
+                if not own:
+                    clean.add(len(words) + len(stems))
+                (words if r["whole"] else stems)[r["gram"]] = len(words) + len(stems)
+    return Voters(words, stems, frozenset(clean))
+
+
+def correlations(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """The voter that each voter's rates depend on, or -1: a forest of the pairs with the highest mutual information given the class."""
+    n, m = votes.shape
+    information = np.zeros((m, m))
+    for w in (post, 1 - post):
+        size = w.sum() + 1.0
+        on = (w @ votes + 0.5) / size
+        both = ((votes * w[:, None]).T @ votes + 0.25) / size
+        for a in (0, 1):
+            for b in (0, 1):
+                p = both if a and b else on[:, None] - both if a else on[None, :] - both if b else 1 - on[:, None] - on[None, :] + both
+                q = np.outer(on if a else 1 - on, on if b else 1 - on)
+                p = np.clip(p, 1e-9, 1)
+                information += size * p * np.log(p / np.clip(q, 1e-9, 1))
+    np.fill_diagonal(information, -1)
+    parent, seen = np.full(m, -1), np.zeros(m, dtype=bool)
+    best, source = np.full(m, -np.inf), np.full(m, -1)
+    for _ in range(m):
+        at = int(np.argmax(np.where(seen, -np.inf, best)))
+        if seen[at] or best[at] < LEAST_INFORMATION:
+            at = int(np.argmin(seen))
+        else:
+            parent[at] = source[at]
+        seen[at] = True
+        closer = ~seen & (information[at] > best)
+        best[closer], source[closer] = information[at][closer], at
+    return parent
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, clean: frozenset[int]) -> np.ndarray:
+    """Posterior toxicity of each row of votes (rows by voters, 0 or 1). The given label is one more voter, of an accuracy to be estimated like the others'.
+
+    A voter that stays silent abstains; silence of all of them is evidence by itself. A voter fires on its own class at least as often as on the other, given the voter it depends on."""
     post = np.where(labels > 0, 0.9, 0.02)
-    weight = np.ones(votes.shape[1])
+    m = votes.shape[1]
+    quiet = votes.sum(axis=1) == 0
+    parent = np.full(m, -1)
+    speaks_clean = np.isin(np.arange(m), list(clean))
     for turn in range(ROUNDS):
-        toxic, clean = post.sum() + 1.0, (1 - post).sum() + 1.0
-        on, off = (post @ votes + 0.5) / toxic, ((1 - post) @ votes + 0.05) / clean
-        # a voter speaks for toxicity or not at all
-        off = np.minimum(off, on)
-        if turn == ROUNDS // 3:
-            # voters that fire together within the toxic class more than by chance share their weight
-            centred = (votes - on) * np.sqrt(post)[:, None]
-            scale = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-            corr = np.clip((centred.T @ centred) / scale[:, None] / scale[None, :], 0, 1)
-            corr[corr < 0.3] = 0
-            np.fill_diagonal(corr, 1)
-            weight = 1 / np.sqrt(corr.sum(axis=0))
-        silence = math.log((post[quiet].sum() + 0.5) / toxic / (((1 - post)[quiet].sum() + 0.5) / clean))
-        said, unsaid = (post[labels > 0].sum() + 1) / (toxic + 1), ((1 - post)[labels > 0].sum() + 1) / (clean + 1)
+        if turn in CHOSEN:
+            parent = correlations(votes, post)
+        given = np.where(parent[None, :] >= 0, votes[:, parent], 0.0)
+        log = np.full(len(votes), math.log(prior / (1 - prior)))
+        rates = []
+        for w, base in ((post, 0.5), (1 - post, 0.05)):
+            whole = (w @ votes + base) / (w.sum() + 1.0)
+            by_parent = []
+            for value in (0.0, 1.0):
+                here = (given == value) * w[:, None]
+                # towards the voter's rate over the class, as if four texts had shown it
+                by_parent.append(((here * votes).sum(axis=0) + 4 * whole) / (here.sum(axis=0) + 4))
+            rates.append(np.array(by_parent))
+        on, off = rates
+        off = np.where(speaks_clean, off, np.minimum(off, on))
+        on = np.where(speaks_clean, np.minimum(on, off), on)
+        on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
+        for value in (0, 1):
+            log += ((given == value) * votes) @ np.log(on[value] / off[value])
+        toxic, fine = post.sum() + 1.0, (1 - post).sum() + 1.0
+        log += quiet * math.log((post[quiet].sum() + 0.5) / toxic / (((1 - post)[quiet].sum() + 0.5) / fine))
+        said, unsaid = (post[labels > 0].sum() + 1) / (toxic + 1), ((1 - post)[labels > 0].sum() + 1) / (fine + 1)
         told = np.where(labels > 0, math.log(said / unsaid), math.log((1 - said) / (1 - unsaid)))
-        log = math.log(prior / (1 - prior)) + np.clip(told, -2.5, 2.5) + np.where(quiet, silence, votes @ (weight * np.log(on / off)))
+        log += np.clip(told, -2.5, 2.5)
         post = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
     return post
 
@@ -152,26 +198,30 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     """Voters and classifier weights from labelled rows that aren't held out. With no toxic row the lexicon alone votes."""
+    cuts = Cuts(spark, "toxicity")
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = known.groupBy("toxic").count().collect()
-    whole = {r["toxic"]: r["count"] for r in rows}
+    # copies of a text count once: ids and hashes are shuffled, not texts
+    told = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).join(known, "doc_id")
+    merged = cuts.cut(told.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic"))
+    whole = {r["toxic"]: r["count"] for r in merged.groupBy("toxic").count().collect()}
     share = {k: min(1.0, FIT_ROWS / n) for k, n in whole.items()}
     limit = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * 1_000_000
-    chosen = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < limit)
-    sample = chosen.join(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id"), "text"), "doc_id")
-    # copies of a text count once
-    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    sizes = {k: round(n * share[k]) for k, n in whole.items()}
+    chosen = merged.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < limit)
+    # about FIT_ROWS ids a label, so they go to the texts
+    chosen = F.broadcast(chosen) if small_enough(chosen, 4 * FIT_ROWS) else chosen
+    sample = cuts.cut(docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"))
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     voters = find_voters(sample, sizes)
     width = len(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [voters.votes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(v, n, width).tolist() for v, n in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            got = [voters.votes(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(v, n, width).tolist() for v, n in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(vote, "doc_id long, toxic int, x array<double>").collect()
+    got = sample.mapInArrow(vote, "doc_id long, toxic int, x array<double>").collect()
     got = sorted(got, key=lambda r: r["doc_id"])
+    cuts.close()
     if not got or not any(r["toxic"] for r in got):
         w = np.zeros(width + 4)
         w[width + 1], w[width + 3] = 2.0, -3.0
@@ -181,7 +231,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Voters
     thin = np.array([1 / share[r["toxic"]] for r in got])
     toxic = np.array([r["toxic"] for r in got], dtype=float)
     prior = float(np.clip((thin * toxic).sum() / thin.sum(), 0.01, 0.5))
-    post = label_model((x[:, :width] > 0).astype(float), toxic, prior)
+    post = label_model((x[:, :width] > 0).astype(float), toxic, prior, voters.clean)
     return voters, train(x, post)
 
 
@@ -215,7 +265,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with docs' columns."""
+    """The rows of docs that aren't predicted toxic, with docs' columns, whatever their names. Null and empty texts have the classifier's base score, which
+    decides on them; repeated rows stay or go together; an empty table gives an empty result."""
     fitted = spark.sparkContext.broadcast(fit(spark, docs, labels))
     schema = docs.schema
     at = schema.names.index("text")
