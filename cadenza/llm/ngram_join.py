@@ -186,7 +186,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
     full = cuts.cut(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_tokens, "id long, h long"))
     df = full.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    kept = full.join(df, "h").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("t"))
+    kept = full.join(df, "h").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("t"))
     kept = kept.join(alive, "id").filter(F.size("t") >= F.ceil(F.col("n") * 4 / 5))
     kept = cuts.cut(kept.select("id", "n", F.transform("t", lambda t: t["df"]).alias("df"), F.transform("t", lambda t: t["h"]).alias("h")))
     cuts.drop(full, alive)
