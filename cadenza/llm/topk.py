@@ -19,12 +19,21 @@ from cadenza.llm.common import Cuts
 
 #: Vectors in a block of candidates and of queries; blocks of dimensions.
 CANDIDATES, QUERIES, LISTS = 4096, 1024, 2
-_PACKED = "array<struct<id:long,v:array<int>>>"
+
+
+#: Below this, sums of doubles are exact integers; a score that no entry has.
+EXACT, NONE = 2.0**53, np.iinfo(np.int64).min
 
 
 def _matrix(packed: list) -> tuple[np.ndarray, np.ndarray]:
     ids = np.array([x["id"] for x in packed], dtype=np.int64)
-    return ids, np.array([x["v"] for x in packed], dtype=np.float64)
+    return ids, np.array([x["v"] for x in packed], dtype=np.int64)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Every inner product, exactly: in doubles where they suffice, as they are faster."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < EXACT else a @ b.T
 
 
 def _parts(width: int) -> list[slice]:
@@ -38,14 +47,15 @@ def _phase1(k: int):
             for q, c in zip(frame["q"], frame["c"], strict=True):
                 (qi, qv), (_, cv) = _matrix(q), _matrix(c)
                 top = min(k, len(cv))
-                whole = qv @ cv.T
-                seen = np.zeros_like(whole, dtype=bool)
+                seen = np.zeros((len(qv), len(cv)), dtype=bool)
                 for part in _parts(qv.shape[1]):
-                    score = qv[:, part] @ cv[:, part].T
-                    np.put_along_axis(seen, np.argpartition(-score, top - 1, axis=1)[:, :top], True, axis=1)
-                whole[~seen] = -np.inf
-                best = -np.partition(-whole, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"query": qi, "scores": [[int(x) for x in row if x > -np.inf] for row in best]})
+                    lists = _products(qv[:, part], cv[:, part])
+                    np.put_along_axis(seen, np.argpartition(-lists, top - 1, axis=1)[:, :top], True, axis=1)
+                # whole scores of what leads a list only
+                rows, cols = np.nonzero(seen)
+                score = np.einsum("ij,ij->i", qv[rows], cv[cols])
+                ends = np.searchsorted(rows, np.arange(len(qv) + 1))
+                yield pd.DataFrame({"query": qi, "scores": [np.sort(score[x:y])[::-1][:k].tolist() for x, y in zip(ends, ends[1:], strict=False)]})
 
     return run
 
@@ -56,20 +66,20 @@ def _phase2(k: int):
             for q, c, cutoffs in zip(frame["q"], frame["c"], frame["cut"], strict=True):
                 (qi, qv), (ci, cv) = _matrix(q), _matrix(c)
                 known = {x["id"]: x["t"] for x in cutoffs}
-                t = np.array([known.get(i, -np.inf) if known.get(i) is not None else -np.inf for i in qi.tolist()])
+                t = np.array([NONE if known.get(i) is None else known[i] for i in qi.tolist()], dtype=np.int64)
                 sent = np.zeros((len(qi), len(ci)), dtype=bool)
                 for part in _parts(qv.shape[1]):
-                    sent |= qv[:, part] @ cv[:, part].T >= t[:, None] / LISTS
+                    sent |= _products(qv[:, part], cv[:, part]) >= (t // LISTS)[:, None]
                 # phase 3: the whole score of what a list has sent; what falls below t leaves, and so does what k better entries of this range beat
                 rows, cols = np.nonzero(sent)
-                score = np.einsum("ij,ij->i", qv[rows], cv[cols]) if len(rows) else np.empty(0)
+                score = np.einsum("ij,ij->i", qv[rows], cv[cols])
                 keep = score >= t[rows]
                 rows, cols, score = rows[keep], cols[keep], score[keep]
                 order = np.lexsort((ci[cols], -score, rows))
                 rows, cols, score = rows[order], cols[order], score[order]
                 first = np.searchsorted(rows, rows)
                 keep = np.arange(len(rows)) - first < k
-                yield pd.DataFrame({"query": qi[rows[keep]], "first_id": ci[cols[keep]], "score": score[keep].astype(np.int64)})
+                yield pd.DataFrame({"query": qi[rows[keep]], "first_id": ci[cols[keep]], "score": score[keep]})
 
     return run
 
@@ -86,12 +96,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale:
 
     Components become floor(scale * x). Ties go to the smaller vec_id; a query isn't its own candidate. Vectors that are null, empty or hold null
     or non-finite components take no part, nor do those not of the most common width. A vec_id that occurs more than once counts once, with its least vector. Equal vectors are
-    scored once; their k + 1 smallest ids stand for them. An empty table gives an empty result.
+    scored once; their k + 1 smallest ids stand for them. Scores are exact as far as a long holds them. An empty table gives an empty result.
     """
     cuts = Cuts(spark, "topk")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    quantised = whole.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
+    quantised = whole.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
     width = quantised.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     rows = cuts.cut(quantised.filter(F.size("v") == (width["w"] if width else 0)).groupBy("id").agg(F.min("v").alias("v")))
     # equal vectors: the k + 1 smallest ids; the limit works before the shuffle, so no group gathers in one task
