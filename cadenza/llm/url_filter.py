@@ -2,7 +2,8 @@
 
 Rules are host-and-path prefixes. The keys of a URL are its host's suffixes, each with a path prefix of a length
 that some rule has. Level 0 is a Bloom filter of the listed keys, level 1 one of the unlisted keys of the corpus that level 0
-accepts, level 2 one of the listed keys that level 1 accepts, and so on until nothing is accepted wrongly.
+accepts, level 2 one of the listed keys that level 1 accepts, and so on until nothing is accepted wrongly. A level holds about a twentieth of what the level two before it
+held, and is hashed anew, so their number grows with the logarithm of the keys and needs no limit.
 The cascade knows the corpus's complete key universe, so it answers exactly, without a join.
 """
 
@@ -14,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules must fit into one expression; a level's wrong share; levels before the list itself ends the cascade.
-MAX_RULES, WRONG, LEVELS = 50_000, 0.05, 12
+#: Rules must fit into one expression; a level's wrong share; bytes of a level at most, as it is part of the plan.
+MAX_RULES, WRONG, MAX_BYTES = 50_000, 0.05, 64_000_000
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,10 @@ def _accepts(key: Column, number: int, level: Level) -> Column:
 
 
 def _level(keys: DataFrame, count: int, number: int) -> Level:
-    """A filter of the keys: its bits are set by the executors; its size goes by count, never by the rows seen."""
+    """A filter of the keys: its bits are set by the executors; its size goes by count, never by the rows seen, and is checked before it is gathered."""
     bits = max(64, math.ceil(-count * math.log(WRONG) / math.log(2) ** 2))
+    if bits > 8 * MAX_BYTES:
+        raise ValueError(f"a level of {count} keys is over {MAX_BYTES} bytes")
     hashes = max(1, round(bits / max(1, count) * math.log(2)))
     spots = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("p"))
     rows = spots.groupBy((F.col("p") / 8).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("v")).collect()
@@ -79,7 +82,7 @@ def build_cascade(spark: SparkSession, listed: list[str], universe: DataFrame) -
     outside = universe.filter(~F.col("key").isin(listed)) if len(listed) <= 1000 else universe.join(F.broadcast(inside), "key", "left_anti")
     levels: list[Level] = []
     sides, counts = [inside, outside], [len(listed), None]
-    while counts[len(levels) % 2] != 0 and len(levels) < LEVELS:
+    while counts[len(levels) % 2] != 0:
         number = len(levels)
         side = number % 2
         if counts[side] is None:
@@ -113,10 +116,11 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, st
     verdicts = {host.lower() + path: verdict for verdict, host, path in rules}
     lengths = sorted({len(path) for _, _, path in rules})
     host, path = split_url(F.col("url"))
-    split = pages.withColumns({"host": host, "path": path}).withColumn("keys_", url_keys(F.col("host"), F.col("path"), lengths))
-    universe = split.select(F.explode("keys_").alias("key")).distinct()
+    split = pages.withColumns({"host": host, "path": path})
+    keys = url_keys(F.col("host"), F.col("path"), lengths)
+    universe = split.select(F.explode(keys).alias("key")).distinct()
     levels = build_cascade(spark, list(verdicts), universe)
-    found = F.filter("keys_", lambda k: is_listed(k, levels))
+    found = F.filter(keys, lambda k: is_listed(k, levels))
     best = F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
     verdict = F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv])
-    return split.withColumn("rule", best).withColumn("verdict", F.coalesce(F.element_at(verdict, F.col("rule")), F.lit(otherwise))).drop("keys_")
+    return split.withColumn("rule", best).withColumn("verdict", F.coalesce(F.element_at(verdict, F.col("rule")), F.lit(otherwise)))
