@@ -151,6 +151,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     Null and empty texts hold nothing, items or documents. Repeated rows count once. Whole texts are compared; other columns are ignored. Consistency is 1 where a window has no
     slots. A benchmark of more than BROADCAST_WINDOWS windows is joined by a shuffle, with the same result.
     """
+    cuts = Cuts(spark, "decontaminate")
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     wanted = items.mapInArrow(_explode(None), _WINDOWS).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), "length")
     totals = wanted.groupBy("item_id").agg(F.countDistinct("h").alias("windows"))
@@ -160,16 +161,23 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     if small_enough(hashes, BROADCAST_WINDOWS):
         known = np.sort(np.array([r["h"] for r in hashes.collect()], dtype=np.int64))
     found = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_explode(known, lengths), _WINDOWS)
-    pairs = Cuts(spark, "decontaminate").cut(found.join(F.broadcast(wanted) if known is not None else wanted, ["h", "length"]))
+    # a window that many places of an item or a document share meets itself once for each item and document, with its fillings
+    found = found.groupBy("id", "h", "length").agg(F.collect_list(F.struct("place", "slots")).alias("there"))
+    wanted = wanted.groupBy("item_id", "h", "length").agg(F.collect_list(F.struct("item_place", "item_slots")).alias("here"))
+    met = cuts.cut(found.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_WINDOWS) else wanted, ["h", "length"]))
+    pairs = met.select("id", "item_id", "h")
     shared = pairs.groupBy("id", "item_id").agg(F.countDistinct("h").alias("shared"))
     likely = shared.join(totals, "item_id").filter(F.col("shared") >= F.col("windows") * SIMILAR)
-    filled = pairs.filter(F.size("slots") > 0).join(likely.select("id", "item_id"), ["id", "item_id"], "left_semi").select("id", "item_id", "place", "item_place", "slots", "item_slots").distinct()
+    # places are paired only for likely items, and only where there are slots to compare
+    filled = met.join(likely.select("id", "item_id"), ["id", "item_id"], "left_semi").select("id", "item_id", F.explode("there").alias("t"), "here").filter(F.size("t.slots") > 0)
+    filled = filled.select("id", "item_id", "t", F.explode("here").alias("w")).select("id", "item_id", "t.place", "w.item_place", "t.slots", "w.item_slots").distinct()
     agree = filled.groupBy("id", "item_id").applyInArrow(_judged, "id long, item_id long, consistency double")
     out = likely.join(agree, ["id", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     return out.filter(F.col("consistency") >= CONSISTENT).select(F.col("id").alias("doc_id"), "item_id", "shared", "windows", "consistency")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, with docs' columns."""
+    """The rows of docs that hold no item of the benchmark, with docs' columns, whatever their names. Null and empty texts and rows with a null doc_id stay; repeated rows
+    stay or go together; an empty table, or an empty benchmark, takes nothing away."""
     bad = contaminated(spark, docs, benchmark).select("doc_id").distinct()
     return docs.join(F.broadcast(bad) if small_enough(bad, BROADCAST_WINDOWS) else bad, "doc_id", "left_anti")
