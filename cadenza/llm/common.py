@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Cuts opened within `scratch`, innermost last.
+_open: list[list[Cuts]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes, at its end, every table cut by operators called within. What they return must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for cuts in _open.pop():
+            cuts.close()
+
+
 class Cuts:
     """Tables written to the shared folder to cut lineage. `drop` removes single ones; what is left can be removed by `close`."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.places: dict[int, tuple[DataFrame, str]] = {}
+        if _open:
+            _open[-1].append(self)
 
     def path(self) -> str:
         self.n += 1
