@@ -30,29 +30,6 @@ def segment_stats(x: DataFrame, size: int) -> DataFrame:
     )
 
 
-def frames(x: DataFrame, size: int, hop: int) -> DataFrame:
-    """(rec, frame, i, value): whole sliding frames. Each sample goes to the size / hop frames that hold it, so nothing is joined."""
-    ends = Window.partitionBy("rec")
-    x = x.withColumn("total", F.count("*").over(ends))
-    first = F.greatest(F.lit(0), F.floor((F.col("n") - size) / hop) + 1)
-    last = F.least(F.floor(F.col("n") / hop), F.floor((F.col("total") - size) / hop))
-    return x.filter(first <= last).select("rec", "n", "value", F.explode(F.sequence(first, last)).alias("frame")).select("rec", "frame", (F.col("n") - F.col("frame") * hop).alias("i"), "value")
-
-
-def power_spectra(spark: SparkSession, x: DataFrame, size: int, hop: int, rate: float = 1.0) -> DataFrame:
-    """(rec, frame, k, p): one-sided power densities of Hann frames of the centred recording, by an explicit transform: samples meet
-    a table of size * (size / 2 + 1) factors, which is broadcast."""
-    mean = F.avg("value").over(Window.partitionBy("rec"))
-    i, k = F.col("i"), F.col("k")
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * i / size)
-    factors = spark.range(size).select(F.col("id").alias("i")).join(spark.range(size // 2 + 1).select(F.col("id").alias("k")), F.lit(True))
-    factors = factors.select("i", "k", (hann * F.cos(2 * math.pi * k * i / size)).alias("c"), (hann * F.sin(2 * math.pi * k * i / size)).alias("s"))
-    weight = rate * sum((0.5 - 0.5 * math.cos(2 * math.pi * j / size)) ** 2 for j in range(size))
-    sums = frames(x.withColumn("value", F.col("value") - mean), size, hop).join(F.broadcast(factors), "i").groupBy("rec", "frame", "k").agg(F.sum(F.col("value") * F.col("c")).alias("re"), F.sum(F.col("value") * F.col("s")).alias("im"))
-    twice = F.when((k > 0) & (k < size / 2), 2.0).otherwise(1.0)
-    return sums.select("rec", "frame", "k", (twice * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / weight).alias("p"))
-
-
 def level_series(x: DataFrame, size: int) -> DataFrame:
     return x.groupBy("rec", F.floor(F.col("n") / size).alias("frame")).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.min("value").alias("low"), F.max("value").alias("high"))
 

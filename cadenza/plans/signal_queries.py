@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalars import relative_decibels
 from cadenza.operators import signal as S
+from cadenza.operators import spectra as P
 
 SIZE, HOP, SEGMENT, LEVEL = 32, 8, 25, 5
 
@@ -17,7 +19,7 @@ def _x(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p(spark: SparkSession, d: str) -> DataFrame:
-    return S.power_spectra(spark, _x(spark, d), SIZE, HOP)
+    return P.power_spectra(_x(spark, d), SIZE, HOP)
 
 
 def _welch(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +161,70 @@ def tumbling_windows(spark, d):
     return x.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def segment_report(spark, d):
+    """Segments of 64 samples at 8 samples a second: spectra, peaks, repetition, envelope, cepstrum."""
+    return P.segment_report(_x(spark, d), 64, 8.0)
+
+
+def segment_views(spark, d):
+    x = P.segment_views(_x(spark, d), 64, 8.0, ["multitaper", "envelope", "kurtosis_bank", "cyclic", "wavelet"])
+    return x.select("rec", "segment", "view", F.posexplode("values").alias("k", "v"))
+
+
+def fft_amplitude(spark, d):
+    """Amplitude spectra of segments of 64 samples."""
+    x = P.segment_views(_x(spark, d), 64, 8.0, ["amplitude"]).select("rec", "segment", F.posexplode("values").alias("k", "a"))
+    return x.select("rec", "segment", F.col("k").cast("long").alias("k"), F.round("a", 6).alias("a"))
+
+
+def segment_autocorrelation(spark, d):
+    x = P.segment_views(_x(spark, d), 64, 8.0, ["autocorrelation"]).select("rec", "segment", F.posexplode(F.slice("values", 1, 17)).alias("lag", "r"))
+    return x.select("rec", "segment", F.col("lag").cast("long").alias("lag"), F.round("r", 6).alias("r"))
+
+
+def log_band_features(spark, d):
+    """Powers of six bands evenly spaced in log frequency, floored, as logarithms."""
+    bands = F.floor(F.log2(F.col("k").cast("double")) * 1.5)
+    return _welch(spark, d).filter("k > 0").groupBy("rec", bands.alias("band")).agg(F.round(F.log10(F.greatest(F.sum("p"), F.lit(1e-12))), 6).alias("level"))
+
+
+def map_pooling(spark, d):
+    """Time-frequency maps pooled to 3 rows of bins by 2 columns of frames, as arrays are split: the first parts are longer."""
+    x = _p(spark, d)
+    size = x.groupBy("rec").agg((F.max("frame") + 1).alias("frames"))
+    part = lambda i, n, parts: F.when(i < (n % parts) * (F.floor(n / parts) + 1), F.floor(i / (F.floor(n / parts) + 1))).otherwise((n % parts) + F.floor((i - (n % parts) * (F.floor(n / parts) + 1)) / F.nullif(F.floor(n / parts), F.lit(0))))
+    x = x.join(size, "rec").select("rec", part(F.col("k"), F.lit(SIZE // 2 + 1), F.lit(3)).alias("row"), part(F.col("frame"), F.col("frames"), F.lit(2)).alias("col"), "p")
+    return x.groupBy("rec", "row", "col").agg(F.round(F.avg("p"), 6).alias("p"))
+
+
+def line_summary(spark, d):
+    """Least, middle and greatest level of each line, and its six largest bins."""
+    x = _welch(spark, d).withColumn("p", F.round("p", 9))
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("q"), "k"))), 1, 6)
+    x = x.groupBy("rec").agg(F.count("*").alias("n"), F.round(F.min("p"), 6).alias("low"), F.round(F.median("p"), 6).alias("mid"), F.round(F.max("p"), 6).alias("high"), top.alias("top"))
+    return x.select("rec", "n", "low", "mid", "high", F.array_join(F.transform("top", lambda t: t["k"].cast("string")), ",").alias("largest"))
+
+
+def peak_spacing(spark, d):
+    """Differences of all pairs of a line's peaks, counted."""
+    peaks = S.local_maxima(_welch(spark, d).withColumn("p", F.round("p", 9)), 24).select("rec", "k")
+    other = peaks.select("rec", F.col("k").alias("k2"))
+    return peaks.join(other, "rec").filter("k < k2").groupBy((F.col("k2") - F.col("k")).alias("spacing")).agg(F.count("*").alias("n"))
+
+
+def running_phase(spark, d):
+    w = Window.partitionBy("rec").orderBy("n")
+    x = _x(spark, d).withColumn("step", (F.abs("value") + F.lag(F.abs("value")).over(w)) / 120)
+    return x.select("rec", "n", F.round(F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)), 6).alias("cycles"))
+
+
+def relative_welch(spark, d):
+    """Levels not below 120 dB under the line's greatest power."""
+    x = _welch(spark, d)
+    most = x.groupBy("rec").agg(F.max("p").alias("most"))
+    return x.join(most, "rec").select("rec", "k", F.round(relative_decibels(F.col("p"), F.col("most"), -120.0), 5).alias("db"))
+
+
 _X = "x AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value FROM events)"
 _WEIGHT = sum((0.5 - 0.5 * math.cos(2 * math.pi * i / SIZE)) ** 2 for i in range(SIZE))
 _P = f"""WITH {_X}, c AS (SELECT rec, n, value - avg(value) OVER (PARTITION BY rec) AS v, count(*) OVER (PARTITION BY rec) AS total FROM x),
@@ -197,4 +263,16 @@ SQL = {
     "event_totals": "SELECT event_type, CAST(day(ts) AS INTEGER) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY GROUPING SETS ((event_type, day(ts)), (event_type))",
     "tumbling_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
-QUERIES = {n: globals()[n] for n in SQL}
+_G = f"""WITH {_X}, g AS (SELECT rec, n // 64 AS segment, n % 64 AS i, value - avg(value) OVER (PARTITION BY rec, n // 64) AS v, count(*) OVER (PARTITION BY rec, n // 64) AS m FROM x) """
+_PART = lambda i, n, parts: f"(CASE WHEN {i} < ({n} % {parts}) * ({n} // {parts} + 1) THEN {i} // ({n} // {parts} + 1) ELSE ({n} % {parts}) + ({i} - ({n} % {parts}) * ({n} // {parts} + 1)) // nullif({n} // {parts}, 0) END)"
+SQL |= {
+    "fft_amplitude": _G + "SELECT rec, segment, k, round(CASE WHEN k > 0 AND 2 * k < m THEN 2 ELSE 1 END * sqrt(pow(sum(w * v * cos(2 * pi() * k * i / m)), 2) + pow(sum(w * v * sin(2 * pi() * k * i / m)), 2)) / sum(w), 6) AS a FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / m) AS w, unnest(range(m // 2 + 1)) AS k FROM g WHERE m >= 32) GROUP BY rec, segment, m, k",
+    "segment_autocorrelation": _G + ", z AS (SELECT rec, segment, sum(v * v) AS z FROM g WHERE m >= 32 GROUP BY 1, 2), l AS (SELECT a.rec, a.segment, a.i - b.i AS lag, sum(a.v * b.v) AS q FROM g a JOIN g b ON a.rec = b.rec AND a.segment = b.segment AND a.i - b.i BETWEEN 0 AND 16 WHERE a.m >= 32 GROUP BY 1, 2, 3) SELECT rec, segment, lag, round(q / z, 6) AS r FROM l JOIN z USING (rec, segment)",
+    "log_band_features": _P + "SELECT rec, CAST(floor(log2(CAST(k AS DOUBLE)) * 1.5) AS BIGINT) AS band, round(log10(greatest(sum(p), 1e-12)), 6) AS level FROM w WHERE k > 0 GROUP BY 1, 2",
+    "map_pooling": _P + f", m AS (SELECT rec, max(frame) + 1 AS frames FROM p GROUP BY 1) SELECT rec, {_PART('k', SIZE // 2 + 1, 3)} AS row, {_PART('frame', 'frames', 2)} AS col, round(avg(p), 6) AS p FROM p JOIN m USING (rec) GROUP BY 1, 2, 3",
+    "line_summary": _P + ", q AS (SELECT rec, k, round(p, 9) AS p FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY p DESC, k) AS r FROM q) SELECT rec, count(*) AS n, round(min(p), 6) AS low, round(median(p), 6) AS mid, round(max(p), 6) AS high, string_agg(CASE WHEN r <= 6 THEN CAST(k AS VARCHAR) END, ',' ORDER BY r) AS largest FROM r GROUP BY 1",
+    "peak_spacing": _P + ", q AS (SELECT rec, k, round(p, 9) AS p FROM w), m AS (SELECT *, lag(p) OVER o AS l, lead(p) OVER o AS r FROM q WINDOW o AS (PARTITION BY rec ORDER BY k)), t AS (SELECT rec, k FROM m WHERE p > l AND p > r) SELECT b.k - a.k AS spacing, count(*) AS n FROM t a JOIN t b ON a.rec = b.rec AND a.k < b.k GROUP BY 1",
+    "running_phase": f"WITH {_X}, s AS (SELECT rec, n, (abs(value) + lag(abs(value)) OVER (PARTITION BY rec ORDER BY n)) / 120 AS step FROM x) SELECT rec, n, round(coalesce(sum(step) OVER (PARTITION BY rec ORDER BY n ROWS UNBOUNDED PRECEDING), 0), 6) AS cycles FROM s",
+    "relative_welch": _P + "SELECT rec, k, round(10 * log10(greatest(p, max(p) OVER (PARTITION BY rec) * 1e-12, 2.2250738585072014e-308)), 5) AS db FROM w",
+}
+QUERIES = {n: globals()[n] for n in [*SQL, "segment_report", "segment_views"]}

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import decibels, significant
 from cadenza.operators import signal as S
+from cadenza.operators import spectra as P
 
 
 def test_power_of_a_tone_is_its_mean_square(spark):
     x = S.tone(spark, 1000, 0.1, 0.064, 16000)
-    p = S.power_spectra(spark, x, 32, 8, 16000.0).groupBy("rec", "k").agg(F.avg("p").alias("p"))
+    p = P.power_spectra(x, 32, 8, 16000.0).groupBy("rec", "k").agg(F.avg("p").alias("p"))
     total, peak = p.agg(F.sum("p") * 16000 / 32, F.max_by("k", "p")).first()
     assert math.isclose(total, 0.005, rel_tol=0.02) and peak == 2
 
