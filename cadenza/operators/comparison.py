@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +56,37 @@ def class_ranking(d: DataFrame) -> DataFrame:
     return regimes.groupBy("query", "class").agg(guarded(F.min("d"), "d").alias("d"), guarded(F.min_by("regime", F.struct("d", "regime")), "d").alias("regime"))
 
 
-def confusion(rows: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
-    """Counts by truth with one column for each label."""
-    return rows.groupBy(truth).pivot(predicted, labels).count().na.fill(0)
+def bank_pairs(references: DataFrame) -> DataFrame:
+    """(a, b, class_a, class_b, d) of all unordered pairs of a bank, which is checked for its size and broadcast."""
+    if references.limit(MAX_REFERENCES + 1).count() > MAX_REFERENCES:
+        raise ValueError(f"a bank holds {MAX_REFERENCES} references at most")
+    a = references.select(F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("shape").alias("sa"))
+    b = references.select(F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("shape").alias("sb"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", "class_a", "class_b", rms_distance(F.col("sa"), F.col("sb")).alias("d"))
+
+
+def mean_distances(vectors: DataFrame, block: int = 512) -> DataFrame:
+    """(class, id, d): the mean distance of each of vectors (id, class, shape) to the others of its class, null if it is alone.
+
+    A class is packed into blocks by a hash of the id, and each pair of blocks is one row, so a large class is dealt to many tasks; what is shuffled then is one sum a vector and block."""
+    size = vectors.groupBy("class").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = vectors.join(F.broadcast(size), "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = dealt.groupBy("class", "block").agg(F.collect_list(F.struct("id", "shape")).alias("v"), F.first("blocks").alias("blocks"))
+    left = packed.select("class", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    both = left.join(packed.select("class", "block", F.col("v").alias("w")), ["class", "block"]).select("class", "v", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, v, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = (np.array([r["shape"] for r in rows]) for rows in (v, w))
+                ids, others = np.array([r["id"] for r in v]), np.array([r["id"] for r in w])
+                d = np.array([np.sqrt(((y - row) ** 2).mean(axis=1)) for row in x])
+                apart = ids[:, None] != others[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.string()), pa.array(ids), pa.array((d * apart).sum(axis=1)), pa.array(apart.sum(axis=1))], ["class", "id", "s", "n"])
+
+    kinds = dict(vectors.dtypes)
+    sums = both.select(F.col("class").cast("string").alias("class"), "v", "w").mapInArrow(run, f"class string, id {kinds['id']}, s double, n long").withColumn("class", F.col("class").cast(kinds["class"]))
+    return sums.groupBy("class", "id").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
 
 
 def pairs(vectors: DataFrame, keys: list[str]) -> DataFrame:
