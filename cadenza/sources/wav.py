@@ -176,7 +176,7 @@ def media_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rpm(spark: SparkSession, path: str, until_seconds: float) -> DataFrame:
     """(path, time_seconds, rpm, status) of speed traces in CSV: `ok` where times rise strictly, speeds are positive and the trace reaches from 0 to until_seconds."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("place", "line")).filter("place > 0")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("place", "line")).filter("place > 0 and trim(line) <> ''")
     cell = F.split("line", ",")
     x = lines.select("path", "place", F.get(cell, F.lit(0)).try_cast("double").alias("time_seconds"), F.get(cell, F.lit(1)).try_cast("double").alias("rpm"))
     step = F.col("time_seconds") - F.lag("time_seconds").over(Window.partitionBy("path").orderBy("place"))
