@@ -150,6 +150,30 @@ def test_main_text():
     assert main_text(page) == "Ti&tle\n\none two\n\nthree"
     assert main_text(None) == main_text("") == main_text("<p><a href=x>only links here</a>") == ""
     assert main_text("<nav>menu<article><p>text &lt;b&gt;</article>") == "text <b>"
+    assert main_text('<script>if (a<b) x = "</script><p>it is 1 < 2 and <a title=it\'s href="a>b">here</a> too') == "it is 1 < 2 and here too"
+
+
+def test_windows_decide_without_an_article():
+    """A surge keeps what lies between its dives, short lines too; a shorter block between other dives goes."""
+    menu, long = "<p><a href=x>links</a></p>", "word " * 20
+    page = f"{menu}<p>aside</p>{menu}<h1>Title</h1><p>by</p><p>me</p><p>now</p><p>{long}</p><p>end</p>{menu}<p>left</p>{menu}"
+    assert main_text(page) == "\n\n".join(["Title", "by", "me", "now", long.strip(), "end"])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<nav><script>", '<a b="', "<a 'x' ", "</", "<!--", '<a "x>', "<style>", "< "])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    begin = time.process_time()
+    main_text(part * (2_000_000 // len(part)))
+    assert time.process_time() - begin < 20
+
+
+def test_pages_with_gaps_repeats_and_other_columns(spark):
+    page = "<article><p>one</p><p>two</p></article>"
+    x = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page * 3, "x"), (2, "v", None, "x"), (3, "w", "", "x")], "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in extract_main_text(x).collect()))
+    assert got == [(0, "", "\n\n".join(["one", "two"] * 3), 28), (1, "u", "one\n\ntwo", 8), (1, "u", "one\n\ntwo", 8), (2, "v", "", 0), (3, "w", "", 0)]
 
 
 def test_warc(spark):
