@@ -1,11 +1,11 @@
 """Shapes of spectra by segment: centred decibels at one resolution, what changes within a segment and between segments, and variants for control.
 
-Spectra come as rows (rec, segment, frame, k, p), so all of this is grouping and joining: no task gets more than a segment or a bin's segments.
+Spectra come as rows (rec, segment, frame, k, p), so all of this is windows and sums over one shuffle by segment or by bin. A window holds one segment, whose size is bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import relative_decibels
@@ -33,14 +33,9 @@ def segment_spectra(x: DataFrame, segment: int, size: int, hop: int) -> DataFram
 
 def centred_levels(p: DataFrame, keys: list[str], floor_db: float | None) -> DataFrame:
     """(keys, k, db): decibels of each line of p (keys, k, p) less their mean; floored so far under the line's greatest power, or at SILENCE if floor_db is None."""
-    line = p.groupBy(*keys).agg(F.max("p").alias("most"))
-
-    def level(value: Column, most: Column) -> Column:
-        return 10 * F.log10(F.greatest(value, F.lit(SILENCE))) if floor_db is None else relative_decibels(value, most, floor_db)
-
-    db = p.join(line, keys).select(*keys, "k", level(F.col("p"), F.col("most")).alias("db"))
-    means = db.groupBy(*keys).agg(F.avg("db").alias("mean"))
-    return db.join(means, keys).select(*keys, "k", (F.col("db") - F.col("mean")).alias("db"))
+    line = Window.partitionBy(*keys)
+    level = 10 * F.log10(F.greatest("p", F.lit(SILENCE))) if floor_db is None else relative_decibels(F.col("p"), F.max("p").over(line), floor_db)
+    return p.select(*keys, "k", level.alias("db")).select(*keys, "k", (F.col("db") - F.avg("db").over(line)).alias("db"))
 
 
 def segment_shapes(p: DataFrame, floor_db: float | None = FLOOR_DB) -> DataFrame:
@@ -48,15 +43,16 @@ def segment_shapes(p: DataFrame, floor_db: float | None = FLOOR_DB) -> DataFrame
     return centred_levels(p.groupBy("rec", "segment", "k").agg(F.avg("p").alias("p")), ["rec", "segment"], floor_db)
 
 
-def transients(p: DataFrame, shapes: DataFrame) -> DataFrame:
+def transients(p: DataFrame) -> DataFrame:
     """(rec, segment, frames, active, transient): frames, those with energy, and the share of these whose shape departs from the segment's by TRANSIENT_DB."""
-    energy = p.groupBy("rec", "segment", "frame").agg(F.sum("p").alias("e"))
-    most = energy.groupBy("rec", "segment").agg(F.max("e").alias("most"), F.count("*").alias("frames"))
-    active = energy.join(most, ["rec", "segment"]).filter(F.col("e") > F.col("most") * 10 ** (FLOOR_DB / 10)).select("rec", "segment", "frame", "frames")
-    own = centred_levels(p.join(active.select("rec", "segment", "frame"), ["rec", "segment", "frame"]), ["rec", "segment", "frame"], FLOOR_DB)
-    apart = own.join(shapes.withColumnRenamed("db", "shape"), ["rec", "segment", "k"]).groupBy("rec", "segment", "frame").agg(F.sqrt(F.avg((F.col("db") - F.col("shape")) ** 2)).alias("d"))
-    far = apart.join(active, ["rec", "segment", "frame"]).groupBy("rec", "segment")
-    return far.agg(F.first("frames").alias("frames"), F.count("*").alias("active"), F.avg((F.col("d") > TRANSIENT_DB).cast("double")).alias("transient"))
+    segment, frame, line = (Window.partitionBy("rec", "segment", *more) for more in ([], ["frame"], ["k"]))
+    y = p.select("rec", "segment", "frame", "p", F.sum("p").over(frame).alias("energy"), F.max("p").over(frame).alias("most"), F.avg("p").over(line).alias("mean"))
+    own, shape = relative_decibels(F.col("p"), F.col("most"), FLOOR_DB), relative_decibels(F.col("mean"), F.max("mean").over(segment), FLOOR_DB)
+    y = y.select("rec", "segment", "frame", own.alias("own"), shape.alias("shape"), (F.max("frame").over(segment) + 1).alias("frames"), (F.col("energy") > F.max("energy").over(segment) * 10 ** (FLOOR_DB / 10)).alias("active"))
+    # every frame has the same bins, so the mean over rows is the mean over bins
+    y = y.select("rec", "segment", "frame", "frames", "active", (F.col("own") - F.avg("own").over(frame) - F.col("shape") + F.avg("shape").over(segment)).alias("apart"))
+    far = y.filter("active").groupBy("rec", "segment", "frame").agg(F.sqrt(F.avg(F.col("apart") * F.col("apart"))).alias("d"), F.first("frames").alias("frames"))
+    return far.groupBy("rec", "segment").agg(F.first("frames").alias("frames"), F.count("*").alias("active"), F.avg((F.col("d") > TRANSIENT_DB).cast("double")).alias("transient"))
 
 
 def shape_summary(shapes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _p(spark: SparkSession, d: str) -> DataFrame:
 def shape_segments(spark, d):
     """Status, frames and transients of each segment."""
     x, p = _x(spark, d), _p(spark, d)
-    found = H.transients(p, H.segment_shapes(p))
+    found = H.transients(p)
     status = F.when(F.col("available"), "available").otherwise("unavailable").alias("status")
     return H.segment_levels(x, SEGMENT, SIZE).join(found, ["rec", "segment"], "left").select("rec", "segment", "n", status, "frames", "active", F.round("transient", 6).alias("transient"))
 

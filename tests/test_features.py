@@ -74,7 +74,7 @@ def test_shapes_do_not_change_with_gain_and_show_clicks(spark):
     x = tone.unionByName(click).unionByName(short)
     p = H.segment_spectra(x, 500, 64, 16).cache()
     shapes = H.segment_shapes(p)
-    got = {(r["rec"], r["segment"]): r for r in H.transients(p, shapes).collect()}
+    got = {(r["rec"], r["segment"]): r for r in H.transients(p).collect()}
     assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
     assert got[1, 0]["transient"] == 0 and 0 < got[2, 1]["transient"] < 1 and got[2, 1]["frames"] == 28
     db = {(r["rec"], r["segment"], r["k"]): r["db"] for r in shapes.collect()}
