@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.common import read
 from cadenza.llm.decontaminate import contaminated
+from cadenza.llm.fill_middle import digests, fill_middle
 from cadenza.llm.html_text import extract_main_text
 from cadenza.llm.language_id import identify
 from cadenza.llm.line_dedup import dedup_lines
@@ -62,7 +63,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_middle(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id, op11_fill_middle)}
 
 _RULES = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in URL_RULES)
 SQL = {
@@ -87,4 +92,13 @@ b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 m AS (SELECT b.page_id, r.v, r.h || r.p AS rule, row_number() OVER (PARTITION BY b.page_id ORDER BY length(r.h || r.p) DESC) AS k
       FROM b JOIN r ON (b.host = r.h OR ends_with(b.host, '.' || r.h)) AND starts_with(b.path, r.p))
 SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM b LEFT JOIN m ON m.page_id = b.page_id AND m.k = 1""",
+    "op11_fill_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS d FROM documents),
+u AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i <= length(text) - length(replace(text, chr(10), '')) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS u,
+             list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(d, k, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT doc_id, text, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
