@@ -10,6 +10,7 @@ from cadenza.llm.fill_middle import digests, fill_middle
 from cadenza.llm.html_text import extract_main_text
 from cadenza.llm.language_id import identify
 from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.merkle import tamper_check
 from cadenza.llm.ngram_join import jaccard_components
 from cadenza.llm.pieces import encode_documents
 from cadenza.llm.topk import top_k
@@ -67,8 +68,24 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(fill_middle(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id, op11_fill_middle)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(spark, read(spark, sf_dir, "documents"))
 
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id, op11_fill_middle, op12_merkle_manifest)}
+
+
+
+def _counted(value: str) -> str:
+    """A value with its bytes' count before it, `-` for null."""
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_HEAD = " || ".join(map(_counted, ("doc_id", "source", "lang", "n_chars")))
+#: The CRC-32 of doc_id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 _RULES = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in URL_RULES)
 SQL = {
     "op6_exact_top_k": """
@@ -101,4 +118,24 @@ c AS (SELECT doc_id, text, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (le
 p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_HEAD} || {_counted("text")} AS row_text,
+       {_HEAD} || {_counted(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} AS changed_text FROM documents),
+l AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, sha256(row_text) AS leaf, sha256(changed_text) AS changed FROM d),
+g(tree, level, idx, n, h) AS (SELECT tree, 0, idx, n, leaf FROM l
+       UNION ALL SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM g WHERE n > 1 GROUP BY tree, level, idx // 8, n),
+s AS (SELECT tree AS name, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM g WHERE n = 1),
+t(level, idx, n, h) AS (SELECT 0, idx, n, subroot FROM s
+       UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY level, idx // 8, n),
+r AS (SELECT h AS root FROM t WHERE n = 1),
+-- nodes under the place at which a path meets them: levels of the group first, then those on top
+p AS (SELECT l.doc_id, g.level AS step, g.idx AS i, l.idx // CAST(pow(8, g.level) AS BIGINT) AS own, g.h FROM l JOIN g ON g.tree = l.tree AND g.n > 1 AND g.idx // 8 = l.idx // CAST(pow(8, g.level + 1) AS BIGINT)
+      UNION ALL SELECT l.doc_id, 100 + t.level, t.idx, s.idx // CAST(pow(8, t.level) AS BIGINT), t.h FROM l JOIN s ON s.name = l.tree JOIN t ON t.n > 1 AND t.idx // 8 = s.idx // CAST(pow(8, t.level + 1) AS BIGINT)),
+q AS (SELECT doc_id, string_agg(h, '' ORDER BY step, i) AS proof FROM p WHERE i <> own GROUP BY doc_id),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS turn, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS lo, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS hi FROM p GROUP BY doc_id, step),
+f(doc_id, turn, h) AS (SELECT doc_id, 0, CASE WHEN {_CRC} % 3 = 0 THEN changed ELSE leaf END FROM l
+      UNION ALL SELECT k.doc_id, f.turn + 1, sha256(k.lo || f.h || k.hi) FROM f JOIN k ON k.doc_id = f.doc_id AND k.turn = f.turn + 1),
+e AS (SELECT doc_id, arg_max(h, turn) AS folded_root FROM f GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM l JOIN s ON s.name = l.tree CROSS JOIN r JOIN e ON e.doc_id = l.doc_id LEFT JOIN q ON q.doc_id = l.doc_id""",
 }
