@@ -12,6 +12,7 @@ from cadenza.llm.language_id import identify
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.merkle import tamper_check
 from cadenza.llm.ngram_join import jaccard_components
+from cadenza.llm.order_minhash import edit_report
 from cadenza.llm.pieces import encode_documents
 from cadenza.llm.topk import top_k
 from cadenza.llm.toxicity import score_documents
@@ -72,7 +73,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id, op11_fill_middle, op12_merkle_manifest)}
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(spark, read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece, op3_toxicity, op4_line_dedup, op5_html_extraction, op6_exact_top_k, op7_warc, op8_decontamination, op9_url_filters, op10_language_id, op11_fill_middle, op12_merkle_manifest, op13_document_fingerprints)}
 
 
 
