@@ -84,43 +84,46 @@ def _phase2(k: int):
     return run
 
 
-def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about `size`, dealt by a hash of the id: none grows with the table."""
-    n = max(1, -(-df.count() // size))
-    packed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "v")).alias(name[0]))
-    return packed, n
+def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows packed by width into blocks (w, name, first letter of name) of about `size`, dealt by a hash of the id: none grows with the table. And (w, n), how many blocks a width has."""
+    counts = df.groupBy(F.size("v").alias("w")).agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    packed = df.withColumn("w", F.size("v")).join(counts, "w").groupBy("w", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "v")).alias(name[0]))
+    return packed, counts
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k highest integer inner products of each query row of vectors (vec_id, embedding).
+    """(query_id, rank, vec_id, score) of the k highest integer inner products of each query row of vectors (vec_id, embedding); other columns are ignored, whatever their names.
 
-    Components become floor(scale * x). Ties go to the smaller vec_id; a query isn't its own candidate. Vectors that are null, empty or hold null
-    or non-finite components take no part, nor do those not of the most common width. A vec_id that occurs more than once counts once, with its least vector. Equal vectors are
-    scored once; their k + 1 smallest ids stand for them. Scores are exact as far as a long holds them. An empty table gives an empty result.
+    Components become floor(scale * x). Ties go to the smaller vec_id; a query isn't its own candidate. Rows with a null vec_id, and vectors that are null, empty or hold null
+    or non-finite components, take no part. Vectors of different widths have no product: a query's candidates are those of its own width. A vec_id that occurs more than once counts once, with its least vector. Equal vectors are
+    scored once; their k + 1 smallest ids stand for them. Scores are exact; where they could be beyond a long, an error is raised. An empty table gives an empty result.
     """
     cuts = Cuts(spark, "topk")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    quantised = whole.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-    width = quantised.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    rows = cuts.cut(quantised.filter(F.size("v") == (width["w"] if width else 0)).groupBy("id").agg(F.min("v").alias("v")))
+    whole = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double") * scale).alias("v"))
+    # no product is greater than the square of the longest vector
+    longest = whole.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (F.abs(x) + 1) * (F.abs(x) + 1)))).first()[0]
+    if longest is not None and longest >= 2.0**63:
+        raise ValueError("scores of these vectors could be beyond a long")
+    rows = cuts.cut(whole.select("id", F.transform("v", lambda x: F.floor(x)).alias("v")).groupBy("id").agg(F.min("v").alias("v")))
     # equal vectors: the k + 1 smallest ids; the limit works before the shuffle, so no group gathers in one task
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     members = cuts.cut(rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     cands = members.select(F.element_at("ids", 1).alias("id"), "v")
     queries = rows.filter(is_query(F.col("id")))
-    cand_blocks, n = _blocks(cands, CANDIDATES, "cb")
-    query_blocks, _ = _blocks(queries, QUERIES, "qb")
-    # every block of queries meets every block of candidates: an equi-join on the candidates' block
-    q = query_blocks.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("qb", "cb")
-    pairs = cuts.cut(q.join(cand_blocks, "cb").select("qb", "q", "c").repartition(max(1, min(2000, n * 4)), "qb", F.xxhash64(F.col("c")[0]["id"])))
+    cand_blocks, counts = _blocks(cands, CANDIDATES, "cb")
+    query_blocks, dealt = _blocks(queries, QUERIES, "qb")
+    n = counts.agg(F.sum("n")).first()[0] or 1
+    # every block of queries meets every block of candidates of its width: an equi-join on the candidates' block
+    q = query_blocks.join(counts, "w").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n").repartition("w", "qb", "cb")
+    pairs = cuts.cut(q.join(cand_blocks, ["w", "cb"]).select("w", "qb", "q", "c").repartition(max(1, min(2000, n * 4)), "qb", F.xxhash64(F.col("c")[0]["id"])))
     kk = k + 1  # the query itself may be among them
     local = pairs.select("q", "c").mapInPandas(_phase1(kk), "query long, scores array<long>")
     best = local.groupBy("query").agg(F.flatten(F.collect_list("scores")).alias("s"))
     cutoff = best.select("query", F.when(F.size("s") >= kk, F.element_at(F.sort_array("s", asc=False), F.lit(kk))).alias("t"))
-    q_of = queries.select("id", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int").alias("qb"))
-    cut_blocks = q_of.join(cutoff, q_of.id == cutoff.query).groupBy("qb").agg(F.collect_list(F.struct("id", "t")).alias("cut"))
-    sent = pairs.join(cut_blocks, "qb").select("q", "c", "cut").mapInPandas(_phase2(kk), "query long, first_id long, score long")
+    q_of = queries.select("id", F.size("v").alias("w")).join(dealt, "w").select("id", "w", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("qb"))
+    cut_blocks = q_of.join(cutoff, q_of.id == cutoff.query).groupBy("w", "qb").agg(F.collect_list(F.struct("id", "t")).alias("cut"))
+    sent = pairs.join(cut_blocks, ["w", "qb"]).select("q", "c", "cut").mapInPandas(_phase2(kk), "query long, first_id long, score long")
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))
     classes = sent.withColumn("r", order).filter(F.col("r") <= kk)
     ids = members.select(F.element_at("ids", 1).alias("first_id"), "ids")
