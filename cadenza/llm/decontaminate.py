@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question and its re-parameterised copy have the same template. Windows of five
-template tokens are joined on their hash with those of the benchmark; an item of fewer tokens is one window of its own length. A document is contaminated
+template tokens are joined on their hash with those of the benchmark; an item of fewer tokens is one window of its own length. A window without a literal token, and that of a short
+item, is joined on its values instead; an item of one or two tokens is found only in a document that is nothing else. A document is contaminated
 with an item if it has at least 0.8 of the item's windows and its slots are filled consistently at one place: each value of the item's slots stands for one
 value there.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import Cuts, small_enough
 
-#: Tokens in a window; share of an item's windows; share of slots filled consistently; benchmark windows broadcast at most (about 64 MB); memo entries.
-WINDOW, SIMILAR, CONSISTENT, BROADCAST_WINDOWS, MEMO = 5, 0.8, 0.8, 500_000, 400_000
+#: Tokens in a window; tokens of an item that is found inside of longer texts; share of an item's windows; share of slots filled consistently; benchmark windows broadcast at most (about 64 MB); memo entries.
+WINDOW, INSIDE, SIMILAR, CONSISTENT, BROADCAST_WINDOWS, MEMO = 5, 3, 0.8, 0.8, 500_000, 400_000
 #: Units of measure.
 UNITS = frozenset("mm cm dm m km inch inches foot feet ft yard yards mile miles mg g gram grams kg kilogram kilograms ton tons tonnes lb lbs oz ounce ounces ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents pound pounds percent w kw v a hz khz mhz ghz kb mb gb tb c f k j kj cal kcal".split())
 NAME, NUM, UNIT, MARK = "<name>", "<num>", "<unit>", "\ue000"
@@ -40,11 +41,24 @@ def canonical(token: str) -> str:
 
 
 class _Hashes(dict):
-    """Hashes of template tokens by token; starts anew when full."""
+    """By token: the hash of its template token, that of the token itself, and whether it is a literal; starts anew when full."""
 
-    def __missing__(self, token: str) -> int:
-        self[token] = h = xxhash.xxh3_64_intdigest(canonical(token))
-        return h
+    def __missing__(self, token: str) -> tuple[int, int, bool]:
+        template = canonical(token)
+        self[token] = found = (xxhash.xxh3_64_intdigest(template), xxhash.xxh3_64_intdigest(token.lstrip(MARK).lower(), 1), template not in (NAME, NUM, UNIT))
+        return found
+
+
+def _rolled(h: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of so many hashes."""
+    n = len(h) - length + 1
+    total = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(length):
+            total += h[i : i + n] * _MULTIPLIERS[i]
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+    return (total ^ (total >> np.uint64(32))).view(np.int64)
 
 
 def windows(text: str | None, memo: _Hashes, lengths: list[int] | None = None) -> tuple[list[str], list[tuple[int, np.ndarray]]]:
@@ -54,18 +68,15 @@ def windows(text: str | None, memo: _Hashes, lengths: list[int] | None = None) -
         return tokens, []
     if len(memo) > MEMO:
         memo.clear()
-    h = np.array([memo[t] for t in tokens], dtype=np.uint64)
+    templates, exact, literal = (np.array(x, dtype=t) for x, t in zip(zip(*[memo[t] for t in tokens], strict=True), (np.uint64, np.uint64, np.int64), strict=True))
     found = []
     for length in lengths if lengths is not None else [min(WINDOW, len(tokens))]:
-        if (n := len(tokens) - length + 1) < 1:
+        if len(tokens) < length or (length < INSIDE and len(tokens) > length):
             continue
-        total = np.zeros(n, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(length):
-                total += h[i : i + n] * _MULTIPLIERS[i]
-            total ^= total >> np.uint64(29)
-            total *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append((length, (total ^ (total >> np.uint64(32))).view(np.int64)))
+        h = _rolled(templates, length)
+        # what has no literal token, or is short, tells too little by its template: its values count
+        bare = np.ones(len(h), bool) if length < WINDOW else np.convolve(literal, np.ones(length, dtype=np.int64), "valid") == 0
+        found.append((length, np.where(bare, _rolled(exact, length), h) if bare.any() else h))
     return tokens, found
 
 
@@ -148,7 +159,8 @@ def _judged(key: tuple, matches: pa.Table) -> pa.Table:
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, shared, windows, consistency) of each document with an item of the benchmark (item_id, text) that it contains.
 
-    Null and empty texts hold nothing, items or documents. Repeated rows count once. Whole texts are compared; other columns are ignored. Consistency is 1 where a window has no
+    Null and empty texts hold nothing, items or documents. Repeated rows count once. Whole texts are compared; other columns are ignored. Items whose windows are placeholders only, such as rows of numbers, and those of under WINDOW tokens are found with their
+    own values only, and those of under INSIDE tokens only as a whole document. Consistency is 1 where a window has no
     slots. A benchmark of more than BROADCAST_WINDOWS windows is joined by a shuffle, with the same result.
     """
     cuts = Cuts(spark, "decontaminate")

@@ -237,6 +237,25 @@ def test_top_k_with_ties_and_gaps(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_top_k_of_null_ids_repeats_widths_and_clashing_columns(spark):
+    rows = [(None, [9.0, 9.0]), (None, None), (20, [1.0]), (40, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [4.0, 4.0]), (2, [3.0]), (3, [-1.0]), (4, []), (5, [0.25, 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, id long, query long, v string")
+    got = {tuple(r) for r in top_k(spark, df, lambda i: i % 20 == 0).collect()}
+    assert got == {(20, 1, 2, 64 * 192), (20, 2, 3, -64 * 64), (40, 1, 1, 32 * 64 + 32 * 128), (40, 2, 5, 16 * 64)}
+    assert top_k(spark, df.limit(0), lambda i: i % 20 == 0).collect() == []
+    with pytest.raises(ValueError):
+        top_k(spark, spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0)
+
+
+def test_short_and_numeric_items_are_found_by_their_values(spark):
+    rng = random.Random(6)
+    numbers = lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
+    items = ["42", "Yes", "it", "7 km", "Name three primes"] + [numbers(30) for _ in range(30)]
+    texts = ["I paid 7 coins", "yes it rains in Rome", "42", "yes", "We drove 7 km", "7 km", "He said name three primes to me"] + [numbers(60) for _ in range(20)] + [f"{numbers(10)} {items[8]} {numbers(10)}"]
+    found = contaminated(spark, docs(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(2, 0), (3, 1), (5, 3), (6, 4), (27, 8)}
+
+
 def test_leaks_and_reparameterised_leaks(spark):
     item = "A train of Alpha Lines covers 120 km in 3 hours while a second train covers 80 km in 4 hours, which of them is faster and by how much overall"
     again = item.replace("120", "555").replace("80", "70").replace("3 hours", "9 hours").replace("4 hours", "2 hours")
