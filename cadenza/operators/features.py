@@ -1,4 +1,4 @@
-"""Features of packed segments that need a transform or a fold: reassigned spectra, cepstral vectors, resampling, bases of harmonic combs.
+"""Features of packed segments that need a transform or a fold: reassigned spectra, cepstral vectors, resampling.
 
 Spark packs and deals the segments and sums what comes back; NumPy works on one segment at a time, which is bounded by its size.
 """
@@ -8,19 +8,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.spectra import LEAST_SAMPLES, _arrays, best_path, find_peaks, hann, segments
+from cadenza.operators.spectra import LEAST_SAMPLES, _arrays, hann, segments
 
-#: Share of a segment's greatest power under which nothing is relocated; the greatest denominator of a ratio of speeds; segments of a recording at most on a path.
-WEAK, DENOMINATOR, MAX_FRAMES = 1e-8, 2000, 2000
-#: Peaks of a frame, harmonics of a base, tolerance of a harmonic as a share of the base, candidates of a frame, and how far apart they are in log frequency.
-PEAKS, HARMONICS, TOLERANCE, CANDIDATES, APART = 40, 8, 0.03, 12, 0.04
+#: Share of a segment's greatest power under which nothing is relocated; the greatest denominator of a ratio of speeds.
+WEAK, DENOMINATOR = 1e-8, 2000
 
 
 def relocated(v: np.ndarray, size: int, hop: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,66 +106,6 @@ def cepstral(v: np.ndarray, rate: float, size: int, hop: int, mels: int, count:
     return np.concatenate([rows.mean(axis=1), rows.std(axis=1)])
 
 
-def comb_candidates(v: np.ndarray, rate: float, low: float, high: float) -> list[tuple[float, float]]:
-    """(Hz, score) of bases of harmonic combs, best first. A base's score is the share of the peaks' power that its harmonics hold, times the share of the
-    harmonics up to the highest found; harmonics with a common divisor belong to a higher base."""
-    n = 4 * len(v)
-    p = np.abs(np.fft.rfft((v - v.mean()) * hann(len(v)), n)) ** 2
-    db = 10 * np.log10(np.maximum(p, max(p.max() * 1e-12, 1e-300)))
-    found = sorted((i for i, _ in find_peaks(db, 8.0) if 0 < i < len(db) - 1), key=lambda i: (-p[i], i))[:PEAKS]
-    if not found:
-        return []
-    a, b, c = (np.array([db[i + k] for i in found]) for k in (-1, 0, 1))
-    # the top of the parabola through a peak and its neighbours
-    hz = (np.array(found) + (a - c) / 2 / np.minimum(a - 2 * b + c, -1e-12)) * rate / n
-    power = p[found]
-    out: list[tuple[float, float]] = []
-    for base in sorted({float(f / j) for f in hz for j in range(1, HARMONICS + 1) if low <= f / j <= high}):
-        order = np.rint(hz / base).astype(int)
-        fits = (order >= 1) & (order <= HARMONICS) & (np.abs(hz - order * base) <= TOLERANCE * base)
-        orders = sorted(set(order[fits].tolist()))
-        if len(orders) < 2 or reduce(math.gcd, orders) > 1:
-            continue
-        w = power[fits]
-        refined = float((w * order[fits] * hz[fits]).sum() / (w * order[fits] ** 2).sum())
-        out.append((refined, float(w.sum() / power.sum()) * len(orders) / orders[-1]))
-    kept: list[tuple[float, float]] = []
-    for f, score in sorted(out, key=lambda x: (-round(x[1], 9), x[0])):
-        if len(kept) < CANDIDATES and all(abs(math.log(f / other)) >= APART for other, _ in kept):
-            kept.append((f, score))
-    return kept
-
-
-def base_tracks(x: DataFrame, segment: int, rate: float, low: float, high: float) -> DataFrame:
-    """(rec, segment, rank, hz, score, on_path): candidates of each segment of x (rec, n, value) that has any, and which of them the best path takes.
-
-    Paths are folds in order, so a recording's candidates meet in one row: of MAX_FRAMES segments at most, longer recordings raise an error."""
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(row, comb_candidates(v, rate, low, high)) for row, v in enumerate(_arrays(batch.column(2))) if len(v) >= LEAST_SAMPLES and np.isfinite(v).all()]
-            found = [(row, c) for row, c in found if c]
-            at = pa.array([row for row, _ in found], pa.int64())
-            lists = [pa.array([[y[k] for y in c] for _, c in found], pa.list_(pa.float64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *lists], ["rec", "segment", "hz", "score"])
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            taken = []
-            for rows in batch.column(1).to_pylist():
-                if len(rows) > MAX_FRAMES:
-                    raise ValueError(f"a path has {MAX_FRAMES} segments at most")
-                taken.append(best_path([np.array(r["hz"]) for r in rows], [np.array(r["score"]) for r in rows]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.list_(pa.int64()))], ["rec", "rows", "taken"])
-
-    kind = "array<struct<segment: long, hz: array<double>, score: array<double>>>"
-    found = segments(x, segment).mapInArrow(frames, "rec long, segment long, hz array<double>, score array<double>")
-    whole = found.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("segment", "hz", "score"))).alias("rows")).mapInArrow(paths, f"rec long, rows {kind}, taken array<long>")
-    each = whole.select("rec", F.explode(F.arrays_zip("rows", "taken")).alias("r"))
-    each = each.select("rec", "r.rows.segment", "r.taken", F.posexplode(F.arrays_zip("r.rows.hz", "r.rows.score")).alias("rank", "c"))
-    return each.select("rec", "segment", (F.col("rank") + 1).alias("rank"), F.col("c")["hz"].alias("hz"), F.col("c")["score"].alias("score"), (F.col("rank") == F.col("taken")).alias("on_path"))
-
-
 #: Features of a segment by name, given its samples and a parameter: a rate, a ratio or a speed.
 FEATURES: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
     "cepstral": lambda v, rate: cepstral(v, rate, 32, 8, 24),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from cadenza.functions.scalars import relative_decibels
 from cadenza.operators.spectra import power_spectra
 
-#: Segments of a recording at most, as a power of 2; the least energy (mean square) of a segment that isn't quiet; decibels under the greatest power at which
+#: The least energy (mean square) of a segment that isn't quiet; decibels under the greatest power at which
 #: shapes are floored; the distance from the mean shape at which a frame is a transient; the power that stands for silence where floors are absolute.
-SEGMENT_BITS, QUIET, FLOOR_DB, TRANSIENT_DB, SILENCE = 20, 1e-20, -60.0, 6.0, 1e-30
+QUIET, FLOOR_DB, TRANSIENT_DB, SILENCE = 1e-20, -60.0, 6.0, 1e-30
 
 
 def segment_levels(x: DataFrame, segment: int, size: int) -> DataFrame:
@@ -25,9 +25,7 @@ def segment_levels(x: DataFrame, segment: int, size: int) -> DataFrame:
 def segment_spectra(x: DataFrame, segment: int, size: int, hop: int) -> DataFrame:
     """(rec, segment, frame, k, p) of the available segments of x (rec, n, value), each centred by itself."""
     at = F.floor(F.col("n") / segment)
-    parts = x.select((F.shiftleft("rec", SEGMENT_BITS) + at).alias("rec"), (F.col("n") - at * segment).alias("n"), "value")
-    p = power_spectra(parts, size, hop)
-    p = p.select(F.shiftright("rec", SEGMENT_BITS).alias("rec"), F.col("rec").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).alias("segment"), "frame", "k", "p")
+    p = power_spectra(x.select("rec", at.alias("segment"), (F.col("n") - at * segment).alias("n"), "value"), size, hop, keys=("rec", "segment"))
     return p.join(segment_levels(x, segment, size).filter("available").select("rec", "segment"), ["rec", "segment"])
 
 

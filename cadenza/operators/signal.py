@@ -7,11 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.blocks import numbered
+
 
 def samples(events: DataFrame) -> DataFrame:
-    """Events as recordings: one for each user, samples in order of time."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("rec"), (F.row_number().over(order) - 1).cast("long").alias("n"), "value")
+    """Events as recordings: one for each user, samples in order of time, numbered within weeks and weeks by what precedes them."""
+    return numbered(events, F.col("user_id"), period="week").select("rec", "n", "value")
 
 
 def tone(spark: SparkSession, hz: float, amplitude: float, seconds: float, rate: int, rec: int = 0) -> DataFrame:

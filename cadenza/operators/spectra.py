@@ -35,27 +35,50 @@ def frame_powers(v: np.ndarray, size: int, hop: int, rate: float) -> np.ndarray:
     return p
 
 
-def power_spectra(x: DataFrame, size: int, hop: int, rate: float = 1.0) -> DataFrame:
-    """(rec, frame, k, p): power densities of Hann frames of each centred recording of x (rec, n, value)."""
-    stats = x.groupBy("rec").agg(F.avg("value").alias("mean"), F.count("*").alias("total"))
-    whole = F.floor((F.col("total") - size) / hop) + 1
+def _by_blocks(x: DataFrame, size: int, hop: int, rate: float, keys: list[str], schema: str, rows: Callable[[np.ndarray, int], dict[str, np.ndarray]]) -> DataFrame:
+    """What `rows` makes of the frames of each block of the centred recordings of x (key..., n, value), given their powers (frames by bins) and the number of the first one, with the keys before it.
+
+    A sample goes to the blocks whose frames it is part of; mean and length of a recording go to its blocks, not to its samples."""
     step = BLOCK_FRAMES * hop
+    about = x.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("total")).filter(F.col("total") >= size).withColumn("whole", F.floor((F.col("total") - size) / hop) + 1)
+    plan = about.select(*keys, "mean", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") - 1) / BLOCK_FRAMES))).alias("block"))
+    last = F.floor(F.col("n") / step)
     first = F.greatest(F.lit(0), F.ceil((F.col("n") - step + hop - size + 1) / step))
-    y = x.join(stats, "rec").filter((F.col("total") >= size) & (F.col("n") < (whole - 1) * hop + size))
-    y = y.select("rec", "n", (F.col("value") - F.col("mean")).alias("value"), F.explode(F.sequence(F.least(first, F.floor(F.col("n") / step)), F.least(F.floor(F.col("n") / step), F.floor((whole - 1) / BLOCK_FRAMES)))).alias("block"))
-    packed = y.groupBy("rec", "block").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
+    packed = x.select(*keys, "n", "value", F.explode(F.sequence(F.least(first, last), last)).alias("block")).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
+    found = packed.join(plan, [*keys, "block"]).select("v", "mean", "whole", "block", *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, v in enumerate(_arrays(batch.column(2))):
-                if len(v) < size:
-                    continue
-                p = frame_powers(v, size, hop, rate)[:BLOCK_FRAMES]
-                n, k = p.shape
-                rec, block = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * k, rec)), pa.array(np.repeat(np.arange(n, dtype=np.int64) + block * BLOCK_FRAMES, k)), pa.array(np.tile(np.arange(k, dtype=np.int64), n)), pa.array(p.ravel())], ["rec", "frame", "k", "p"])
+            for row, v in enumerate(_arrays(batch.column(0))):
+                mean, whole, block = (batch.column(i)[row].as_py() for i in (1, 2, 3))
+                frames = min(BLOCK_FRAMES, whole - block * BLOCK_FRAMES)
+                out = rows(frame_powers(v[: (frames - 1) * hop + size] - mean, size, hop, rate), block * BLOCK_FRAMES)
+                at = pa.array(np.full(len(next(iter(out.values()))), row))
+                yield pa.RecordBatch.from_arrays([*[batch.column(4 + i).take(at) for i in range(len(keys))], *map(pa.array, out.values())], [*keys, *out])
+
+    kinds = dict(x.dtypes)
+    return found.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+
+
+def power_spectra(x: DataFrame, size: int, hop: int, rate: float = 1.0, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """(key..., frame, k, p): power densities of Hann frames of each centred recording of x (key..., n, value); a recording may have several keys, of any type."""
+
+    def rows(p: np.ndarray, first: int) -> dict[str, np.ndarray]:
+        n, k = p.shape
+        return {"frame": np.repeat(np.arange(n, dtype=np.int64) + first, k), "k": np.tile(np.arange(k, dtype=np.int64), n), "p": p.ravel()}
+
+    return _by_blocks(x, size, hop, rate, list(keys), "frame long, k long, p double", rows)
+
 
-    return packed.mapInArrow(run, "rec long, frame long, k long, p double")
+def mean_powers(x: DataFrame, size: int, hop: int, rate: float = 1.0, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """(key..., k, frames, p, square): the mean over frames of the powers that power_spectra gives, and of their squares. Frames are added up in their blocks, so a block gives a row for each bin, however many frames it has."""
+
+    def rows(p: np.ndarray, first: int) -> dict[str, np.ndarray]:
+        return {"k": np.arange(p.shape[1], dtype=np.int64), "frames": np.full(p.shape[1], len(p), dtype=np.int64), "p": p.sum(axis=0), "square": (p**2).sum(axis=0)}
+
+    added = _by_blocks(x, size, hop, rate, list(keys), "k long, frames long, p double, square double", rows)
+    n = F.sum("frames")
+    return added.groupBy(*keys, "k").agg(n.alias("frames"), (F.sum("p") / n).alias("p"), (F.sum("square") / n).alias("square"))
 
 
 def amplitude_spectrum(v: np.ndarray) -> np.ndarray:
@@ -127,12 +150,6 @@ def multitaper(v: np.ndarray, rate: float) -> np.ndarray:
     return (weight[:, None] * p).sum(axis=0) / weight.sum()
 
 
-def median_bias(n: int) -> float:
-    """The expected median of n exponential powers over their mean."""
-    odd = np.arange(2, n if n % 2 else n - 1, 2)
-    return float(1 + (1 / (odd + 1) - 1 / odd).sum()) if n > 1 else 1.0
-
-
 def cepstrum(v: np.ndarray, floor_db: float = -80.0) -> np.ndarray:
     a = np.abs(np.fft.rfft((v - v.mean()) * hann(len(v))))
     return np.fft.irfft(np.log(np.maximum(a, max(a.max() * 10 ** (floor_db / 20), TINY))), len(v))[1 : len(v) // 2]
@@ -178,29 +195,6 @@ def band_kurtosis(v: np.ndarray, rate: float, levels: int = 4) -> dict[tuple[int
     return out
 
 
-def best_path(frequencies: list[np.ndarray], scores: list[np.ndarray], penalty: float = 4.0) -> list[int]:
-    """The candidate of each frame on the best path: scores add up, jumps cost `penalty` for each unit of log frequency; the first of equals."""
-    best, back = scores[0].astype(float), []
-    for before, now, score in zip(frequencies, frequencies[1:], scores[1:], strict=False):
-        through = best[:, None] - penalty * np.abs(np.log(before[:, None] / now[None, :]))
-        back.append(through.argmax(axis=0))
-        best = through.max(axis=0) + score
-    path = [int(best.argmax())]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
-    return path[::-1]
-
-
-def angular_resample(v: np.ndarray, rpm: np.ndarray, rate: float, per_cycle: int = 64) -> np.ndarray | None:
-    """Whole inner rotations by samples of a rotation, or None if there are fewer than four."""
-    cycles = np.concatenate([[0.0], np.cumsum((rpm[1:] + rpm[:-1]) / 120.0 / rate)])
-    first, last = math.ceil(cycles[0]), math.floor(cycles[-1])
-    if last - first < 4:
-        return None
-    at = first + np.arange((last - first) * per_cycle) / per_cycle
-    return np.interp(at, cycles, v).reshape(-1, per_cycle)
-
-
 def segments(x: DataFrame, size: int) -> DataFrame:
     """(rec, segment, v): samples of x (rec, n, value) packed by segments of `size`, the last one shorter."""
     return x.groupBy("rec", F.floor(F.col("n") / size).alias("segment")).agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))

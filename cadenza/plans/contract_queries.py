@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import learning as L
 from cadenza.streaming import review as R
+from cadenza.streaming import stateful as T
 
 CONDITIONS = 4
 _DECISION = "outcome string, condition_id string, explanation string, comparisons array<struct<condition_id:string,similar:boolean,evidence_ids:array<string>>>"
@@ -138,25 +139,58 @@ def specialist_scores(spark, d):
     return said.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("label")).alias("correct"), F.round(F.avg("score"), 3).alias("score"))
 
 
+#: Reviews that an arm may ask a person for; requests of a run at most, cents each reserves, milliseconds until one counts as lost.
+REVIEWS, LIMIT = 16, T.Budget(most=40, reserve=411, lost=7_200_000)
+
+
 def _journal(spark: SparkSession, d: str) -> DataFrame:
-    """Two arms of decisions for each of ten users: summary, retrieval and human rows in turn."""
-    x = spark.read.parquet(f"{d}/events.parquet")
-    decision = F.when(F.col("event_id") % 3 == 0, "accept").otherwise("review")
-    stage = F.element_at(F.array(*map(F.lit, R.STAGES)), (F.col("event_id") % 3 + 1).cast("int"))
-    arm = F.concat(F.when(F.col("user_id") % 2 == 0, "adaptive-").otherwise("fixed-"), (F.col("user_id") % 10).cast("string"))
-    return x.select(arm.alias("arm"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("query"), stage.alias("stage"), decision.alias("decision"))
+    """An arm for each user, a query for each event: a third are accepted at once, a third by retrieval, a third need a person. Every tenth has a person's label too early, every thirteenth is of the bank."""
+    x = spark.read.parquet(f"{d}/events.parquet").withColumn("id", F.col("event_id"))
+    arm = F.concat(F.when(F.col("user_id") % 2 == 0, "adaptive-").otherwise("fixed-"), F.col("user_id").cast("string"))
+    label = F.concat(F.lit("c"), (F.col("id") % 4).cast("string"))
+
+    def row(place: int, stage: str, action, label) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(stage).alias("stage"), action.cast("string").alias("action"), label.cast("string").alias("label"))
+
+    none = F.lit(None)
+    rows = [
+        row(0, "summary", F.when(F.col("id") % 3 == 0, "accept").otherwise("review"), F.when(F.col("id") % 3 == 0, label)), F.when(F.col("id") % 10 == 7, row(1, "human", none, label)),
+        F.when(F.col("id") % 3 > 0, row(2, "retrieval", F.when(F.col("id") % 3 == 1, "accept").otherwise("review"), F.when(F.col("id") % 3 == 1, label))), F.when(F.col("id") % 3 == 2, row(3, "human", none, label)),
+    ]
+    each = x.select(arm.alias("arm"), "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.explode(F.array_compact(F.array(*rows))).alias("r"))
+    return each.select("arm", (F.col("at") * 4 + F.col("r.place")).alias("seq"), F.when(F.col("id") % 13 == 0, "seed").otherwise(F.col("id").cast("string")).alias("query"), "r.stage", "r.action", "r.label")
 
 
 def review_machine(spark, d):
-    return R.run_machine(_journal(spark, d)).groupBy("arm", "outcome").agg(F.count("*").alias("n"), F.max("reviews").alias("reviews"), F.max("version").alias("version"))
+    """What came of the rows of each arm, with its reviews, and version and size of its bank in the end."""
+    rows = _journal(spark, d)
+    out = T.run_reviews(rows, rows.select("arm", F.lit("seed").alias("member"), F.lit("c0").alias("label")).distinct(), REVIEWS)
+    counts = out.groupBy("arm", "outcome").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("reviews", "version", "members")])
+    whole = Window.partitionBy("arm")
+    return counts.select("arm", "outcome", "n", *[F.max(c).over(whole).alias(c) for c in ("reviews", "version", "members")])
+
+
+def _spending(spark: SparkSession, d: str) -> DataFrame:
+    """A run for each user, a request for each event, which ends after `value` minutes, for some at no known or at too high a cost. Every seventh never ends, every seventeenth is tried twice."""
+    x = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 60_000_000).cast("long")).alias("to"))
+
+    def row(at, kind: str, cost) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), cost.cast("long").alias("cost"))
+
+    end = F.when(F.col("id") % 7 != 3, row(F.col("to"), "finish", F.when(F.col("id") % 5 != 1, F.col("id") * 7 % 450)))
+    rows = [row(F.col("at"), "reserve", F.lit(None)), F.when(F.col("id") % 17 == 0, row(F.col("at") + 1, "reserve", F.lit(None))), end]
+    each = x.select("run", "id", F.explode(F.array_compact(F.array(*rows))).alias("r"))
+    return each.select("run", (F.col("r.at") * 2 + (F.col("r.kind") == "finish").cast("long")).alias("seq"), F.timestamp_micros("r.at").alias("time"), "r.kind", F.col("id").cast("string").alias("request"), "r.cost")
 
 
 def budget_ledger(spark, d):
-    """Reservations and their ends for each user; every fifth end has no known cost."""
-    x = spark.read.parquet(f"{d}/events.parquet")
-    kind = F.when(F.col("event_id") % 2 == 0, "reserve").otherwise("finish")
-    cost = F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 300).cast("double")
-    return R.run_ledger(x.select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), cost.alias("cost")), 40)
+    """What came of the events of each run, and what it has spent in the end. Requests are lost as far as ten minutes before the last event."""
+    rows = _spending(spark, d)
+    last = rows.agg(F.max(F.unix_millis("time"))).first()[0]
+    out = T.run_ledger(rows, LIMIT, None if last is None else last - 600_000)
+    counts = out.groupBy("run", "outcome").agg(F.count("*").alias("n"), F.max_by("spent", F.when(F.col("spent").isNotNull(), F.col("seq"))).alias("spent"), F.max(F.when(F.col("spent").isNotNull(), F.col("seq"))).alias("seq"))
+    whole = Window.partitionBy("run")
+    return counts.select("run", "outcome", "n", F.max_by("spent", "seq").over(whole).alias("spent"))
 
 
 def resumed_requests(spark, d):
@@ -174,6 +208,19 @@ SQL = {
     "outcome_categories": "WITH x AS (SELECT vec_id % 3 <> 0 AS known, CASE WHEN vec_id % 11 = 0 THEN 'i' WHEN vec_id % 4 = 1 THEN 'o' ELSE 'k' END AS said, vec_id % 5 <> 2 AS fits FROM embeddings) SELECT CASE WHEN said = 'i' THEN 'undecided' WHEN known AND said = 'k' AND fits THEN 'correct' WHEN known AND said = 'k' THEN 'wrong' WHEN known THEN 'rejected_known' WHEN said = 'k' THEN 'accepted_unknown' ELSE 'correct' END AS kind, count(*) AS n FROM x GROUP BY 1",
     "view_pruning": "WITH x AS (SELECT conv_id, unnest(range(least(turn, 5) + 1)) AS i FROM conversations) SELECT conv_id, count(*) FILTER (WHERE i % 4 IN (0, 2)) AS kept, count(*) FILTER (WHERE i % 4 IN (1, 3)) AS removed, CAST(0 AS BIGINT) AS left_over FROM x GROUP BY 1",
     "silver_labels": "SELECT CASE WHEN doc_id % 4 = 3 THEN 'not_attempted' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 1 OR (doc_id % 7 <> 2 AND lang IS NULL) THEN 'abstained' WHEN doc_id % 7 = 2 OR lang NOT IN ('en', 'de', 'fr', 'es') OR doc_id % 5 = 1 THEN 'failed' ELSE 'labelled' END AS status, count(*) AS n FROM documents GROUP BY 1",
+    "review_machine": f"""WITH x AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'adaptive-' ELSE 'fixed-' END || user_id AS arm, event_id AS id, epoch_us(ts) AS t0 FROM events),
+a AS (SELECT *, id % 13 <> 0 AS own, id % 13 <> 0 AND id % 3 = 2 AS asks, count(*) FILTER (id % 13 <> 0 AND id % 3 = 2) OVER (PARTITION BY arm ORDER BY t0, id) AS nth FROM x),
+o AS (SELECT arm, id, unnest([CASE WHEN NOT own THEN 'refused' WHEN id % 3 = 0 THEN 'accepted' ELSE 'retrieve' END, CASE WHEN id % 10 = 7 THEN 'refused' END, CASE WHEN id % 3 = 0 THEN NULL WHEN NOT own THEN 'refused' WHEN id % 3 = 1 THEN 'accepted' WHEN nth <= {REVIEWS} THEN 'ask' ELSE 'budget_exhausted' END,
+      CASE WHEN id % 3 <> 2 THEN NULL WHEN own AND nth <= {REVIEWS} THEN 'labelled' ELSE 'refused' END]) AS outcome FROM a),
+r AS (SELECT arm, CAST(least({REVIEWS}, max(nth)) AS INTEGER) AS reviews FROM a GROUP BY arm)
+SELECT arm, outcome, count(*) AS n, any_value(reviews) AS reviews, CASE WHEN starts_with(arm, 'adaptive') THEN any_value(reviews) ELSE 0 END AS version, CASE WHEN starts_with(arm, 'adaptive') THEN any_value(reviews) ELSE 0 END + 1 AS members FROM o JOIN r USING (arm) WHERE outcome IS NOT NULL GROUP BY arm, outcome""",
+    "budget_ledger": f"""WITH x AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS id, epoch_us(ts) AS t0, epoch_us(ts) + CAST(round(value * 60000000) AS BIGINT) AS t1, event_id % 7 <> 3 AS ends, CASE WHEN event_id % 5 <> 1 THEN event_id * 7 % 450 END AS cost FROM events),
+u AS (SELECT max(CASE WHEN ends THEN greatest(t0, t1) WHEN id % 17 = 0 THEN t0 + 1 ELSE t0 END) // 1000 - 600000 AS until FROM x),
+a AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t0, id) <= {LIMIT.most} AS taken, t0 // 1000 + {LIMIT.lost} AS due FROM x),
+f AS (SELECT *, CASE WHEN NOT ends THEN NULL WHEN NOT taken THEN 'unknown' WHEN t1 // 1000 > due THEN 'late' WHEN cost > {LIMIT.reserve} THEN 'excess' WHEN cost IS NULL THEN 'kept' ELSE 'settled' END AS fin FROM a),
+o AS (SELECT run, unnest([CASE WHEN taken THEN 'reserved' ELSE 'over_cap' END, CASE WHEN id % 17 = 0 THEN CASE WHEN taken THEN 'repeated' ELSE 'over_cap' END END, fin, CASE WHEN fin = 'late' OR taken AND (fin IS NULL OR fin = 'excess') AND due < until THEN 'lost' END]) AS outcome FROM f CROSS JOIN u),
+s AS (SELECT run, CAST(sum(CASE WHEN fin = 'settled' THEN cost WHEN taken THEN {LIMIT.reserve} ELSE 0 END) AS BIGINT) AS spent FROM f GROUP BY run)
+SELECT run, outcome, count(*) AS n, any_value(spent) AS spent FROM o JOIN s USING (run) WHERE outcome IS NOT NULL GROUP BY run, outcome""",
     "resumed_requests": "WITH x AS (SELECT doc_id, lang, sha256(text) AS h FROM documents) SELECT lang, count(*) AS n, min(doc_id) AS first FROM x WHERE h NOT IN (SELECT h FROM x WHERE doc_id % 3 = 0 AND h IS NOT NULL) OR h IS NULL GROUP BY 1",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "specialist_scores", "review_machine", "budget_ledger"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "specialist_scores"]}

@@ -82,11 +82,6 @@ def reassigned_map(spark, d):
     return x.groupBy("rec", "segment", F.floor(F.col("t") / 16).alias("row"), F.floor(F.col("f") * 8).alias("col")).agg(F.sum("p").alias("p"), F.count("*").alias("n"))
 
 
-def base_candidates(spark, d):
-    """Bases of harmonic combs in each segment, best first, with the one on the best path marked."""
-    return E.base_tracks(_x(spark, d), 32, 8.0, 0.2, 3.0)
-
-
 def cepstral_features(spark, d):
     return E.segment_features(_x(spark, d), 64, 8000.0, "cepstral")
 
@@ -140,4 +135,4 @@ SQL = {
         FROM g JOIN e ON e.rec = g.rec AND g.j / {POINTS}.0 >= e.t AND g.j / {POINTS}.0 < e.t1 GROUP BY 1, 2""",
     "canonical_props": "SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "reassigned_map", "base_candidates", "cepstral_features", "resampled", "speed_matched"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "reassigned_map", "cepstral_features", "resampled", "speed_matched"]}

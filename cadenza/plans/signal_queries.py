@@ -23,7 +23,7 @@ def _p(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _welch(spark: SparkSession, d: str) -> DataFrame:
-    return _p(spark, d).groupBy("rec", "k").agg(F.avg("p").alias("p"))
+    return P.mean_powers(_x(spark, d), SIZE, HOP).select("rec", "k", "p")
 
 
 def segment_stats(spark, d):
@@ -95,7 +95,7 @@ def autocorrelation(spark, d):
 
 
 def spectral_kurtosis(spark, d):
-    return _p(spark, d).groupBy("rec", "k").agg(F.round(F.avg(F.col("p") * F.col("p")) / (F.avg("p") * F.avg("p")) - 2, 6).alias("sk"))
+    return P.mean_powers(_x(spark, d), SIZE, HOP).select("rec", "k", F.round(F.col("square") / (F.col("p") * F.col("p")) - 2, 6).alias("sk"))
 
 
 def ridge(spark, d):

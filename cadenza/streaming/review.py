@@ -1,128 +1,13 @@
-"""Ordered, replayable state by key, the same in batch and on a stream: a review machine with a budget, and a ledger of reservations.
-
-State is kept for each arm or run, never over all, so arms run side by side; rows of one arm come in the order of `seq`.
-"""
+"""Attempts, totals and resumption on streams and tables. Reviews and budgets are in stateful.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-#: Reviews that an arm may ask a person for; cost in cents that an attempt reserves.
-REVIEWS, RESERVED = 16, 411
-STAGES = ("summary", "retrieval", "human")
-
-
-def machine_start() -> tuple:
-    """(next stage, current query, reviews asked, version of the bank, last seq)."""
-    return "summary", None, 0, 0, -1
-
-
-def machine_step(state: tuple, row: dict, adaptive: bool) -> tuple[tuple, str]:
-    """The state after a row (seq, query, stage, decision), and what came of the row.
-
-    A summary that needs review goes to retrieval, and a retrieval that needs it to a person, if the budget allows. A person's label is added to the bank of an adaptive arm. Rows that are late, of another
-    stage or of another query than the one that is open are refused and change nothing."""
-    stage, query, reviews, version, last = state
-    if row["seq"] <= last or row["stage"] != stage or (query is not None and row["query"] != query):
-        return state, "refused"
-    if stage == "human":
-        return ("summary", None, reviews + 1, version + int(adaptive), row["seq"]), "labelled"
-    if row["decision"] == "accept":
-        return ("summary", None, reviews, version, row["seq"]), "accepted"
-    if stage == "summary":
-        return ("retrieval", row["query"], reviews, version, row["seq"]), "retrieve"
-    if reviews >= REVIEWS:
-        return ("summary", None, reviews, version, row["seq"]), "budget_exhausted"
-    return ("human", row["query"], reviews, version, row["seq"]), "ask"
-
-
-def ledger_step(state: tuple, row: dict, most: int) -> tuple[tuple, str]:
-    """(requests, spent, last seq) after an event (seq, kind, cost): a reservation, or its end with the known or unknown cost."""
-    requests, spent, last = state
-    if row["seq"] <= last:
-        return state, "refused"
-    if row["kind"] == "reserve":
-        return (state[:2] + (row["seq"],), "over_cap") if requests >= most else ((requests + 1, spent + RESERVED, row["seq"]), "reserved")
-    cost = row["cost"]
-    known = cost is not None and cost == cost
-    return (requests, spent + (int(cost) - RESERVED if known else 0), row["seq"]), "settled" if known else "kept"
-
-
-def _fold(state: tuple, frame: pd.DataFrame, step) -> tuple[tuple, list[str]]:
-    out = []
-    for row in frame.sort_values("seq", kind="stable").to_dict("records"):
-        state, came = step(state, row)
-        out.append(came)
-    return state, out
-
-
-_MACHINE_OUT = "arm string, seq long, query long, stage string, outcome string, reviews int, version int"
-_LEDGER_OUT = "run string, requests int, spent long, refused int"
-
-
-def _machine_rows(arm: str, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """The rows of one arm with their outcomes and the counters after each."""
-    ordered = frame.sort_values("seq", kind="stable")
-    outcomes, reviews, versions = [], [], []
-    for row in ordered.to_dict("records"):
-        state, came = machine_step(state, row, arm.startswith("adaptive"))
-        outcomes.append(came)
-        reviews.append(state[2])
-        versions.append(state[3])
-    return state, pd.DataFrame({"arm": arm, "seq": ordered["seq"].to_numpy(), "query": ordered["query"].to_numpy(), "stage": ordered["stage"].to_numpy(), "outcome": outcomes, "reviews": reviews, "version": versions})
-
-
-def run_machine(events: DataFrame) -> DataFrame:
-    """Events (arm, seq, query, stage, decision) with what came of each; an arm whose name begins with `adaptive` adds reviewed labels to its bank."""
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _machine_rows(key[0], machine_start(), frame)[1]
-
-    return events.groupBy("arm").applyInPandas(fold, _MACHINE_OUT)
-
-
-def stream_machine(events: DataFrame) -> DataFrame:
-    """`run_machine` on a stream: the state of each arm is kept between batches, late rows are refused."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = tuple(held.get) if held.exists else machine_start()
-        state, out = _machine_rows(key[0], state, pd.concat(list(frames)))
-        held.update(state)
-        yield out
-
-    return events.groupBy("arm").applyInPandasWithState(step, _MACHINE_OUT, "stage string, query long, reviews int, version int, last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_ledger(events: DataFrame, most: int) -> DataFrame:
-    """Requests, cents spent or reserved, and refusals of each run, from events (run, seq, kind, cost)."""
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = _fold((0, 0, -1), frame, lambda s, r: ledger_step(s, r, most))
-        return pd.DataFrame({"run": [key[0]], "requests": [state[0]], "spent": [state[1]], "refused": [sum(x in ("refused", "over_cap") for x in out)]})
-
-    return events.groupBy("run").applyInPandas(fold, _LEDGER_OUT)
-
-
-def stream_ledger(events: DataFrame, most: int) -> DataFrame:
-    """`run_ledger` on a stream, a row for each run and batch that has touched it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        requests, spent, last, refused = held.get if held.exists else (0, 0, -1, 0)
-        state, out = _fold((requests, spent, last), pd.concat(list(frames)), lambda s, r: ledger_step(s, r, most))
-        refused += sum(x in ("refused", "over_cap") for x in out)
-        held.update((*state, refused))
-        yield pd.DataFrame({"run": [key[0]], "requests": [state[0]], "spent": [state[1]], "refused": [refused]})
-
-    return events.groupBy("run").applyInPandasWithState(step, _LEDGER_OUT, "requests int, spent long, last long, refused int", "update", GroupStateTimeout.NoTimeout)
 
 
 def attempts_once(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """The first attempt of each key on a stream; a repeat within the delay is dropped and never tried again."""
+    """The first attempt of each key on a stream; repeats within the delay are dropped. One that comes later than that is taken for new: where a request must never be tried again, use the ledger of stateful.py, which keeps requests for ever."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -55,18 +55,6 @@ def test_cepstral_vectors():
     assert np.allclose(filters.sum(axis=1) * 8000 / 1024, 1, rtol=0.1) and (filters.argmax(axis=1)[1:] > filters.argmax(axis=1)[:-1]).all()
 
 
-def test_bases_of_combs(spark):
-    """The base is found, also without its own line; the path stays with it."""
-    t = np.arange(4000) / 1000
-    v = sum(np.cos(2 * np.pi * 31 * j * t + j) / j for j in (2, 3, 4, 5))
-    best = E.comb_candidates(v[:1000], 1000.0, 10, 300)
-    assert best[0][0] == pytest.approx(31, rel=0.005) and best[0][1] > 0.7
-    assert E.comb_candidates(np.zeros(1000), 1000.0, 10, 300) == []
-    x = spark.createDataFrame([(7, i, float(y)) for i, y in enumerate(v)], "rec long, n long, value double")
-    rows = [r for r in E.base_tracks(x, 1000, 1000.0, 10, 300).collect() if r["on_path"]]
-    assert sorted(r["segment"] for r in rows) == [0, 1, 2, 3] and all(abs(r["hz"] - 31) < 0.2 for r in rows)
-
-
 def test_shapes_do_not_change_with_gain_and_show_clicks(spark):
     tone = S.tone(spark, 50, 0.1, 1.0, 1000, rec=1)
     click = tone.selectExpr("2L as rec", "n", "value * 10 + if(n = 700, 90, 0) as value")
@@ -83,6 +71,20 @@ def test_shapes_do_not_change_with_gain_and_show_clicks(spark):
     assert whole == {1, 2}
 
 
+def test_segments_of_any_recording_have_spectra(spark):
+    """Ids of any size or kind, and segments beyond any count of bits."""
+    v = [math.sin(i / 3) + 0.1 * math.cos(i * 1.7) for i in range(64)]
+    many = 2**45
+    rows = [(r, n + at, y) for r, at in ((7, 0), (2**44, 0), (-5, 0), (7, 64 * many)) for n, y in enumerate(v)]
+    p = H.segment_spectra(spark.createDataFrame(rows, "rec long, n long, value double"), 64, 32, 8).collect()
+    by = {}
+    for r in p:
+        by.setdefault((r["rec"], r["segment"]), []).append((r["frame"], r["k"], round(r["p"], 9)))
+    assert set(by) == {(7, 0), (2**44, 0), (-5, 0), (7, many)} and len({str(sorted(x)) for x in by.values()}) == 1
+    named = spark.createDataFrame([("a", n, y) for n, y in enumerate(v)], "rec string, n long, value double")
+    assert H.segment_spectra(named, 64, 32, 8).count() == 5 * 17
+
+
 def test_strict_json():
     keys = frozenset({"a", "b"})
     assert canonical('{"b": 1, "a": [1.5, null]}', keys) == '{"a":[1.5,null],"b":1}'
@@ -93,9 +95,6 @@ def test_strict_json():
 def test_queries_without_sql(spark):
     cells = QUERIES["reassigned_map"](spark, D).collect()
     assert cells and all(r["p"] > 0 and r["n"] > 0 for r in cells)
-    bases = QUERIES["base_candidates"](spark, D).collect()
-    on = [(r["rec"], r["segment"]) for r in bases if r["on_path"]]
-    assert bases and len(on) == len(set(on)) == len({(r["rec"], r["segment"]) for r in bases}) and all(0 < r["score"] <= 1 for r in bases)
     assert {len(r["values"]) for r in QUERIES["cepstral_features"](spark, D).collect()} == {120}
     assert {n for (n,) in {(r["n"],) for r in QUERIES["resampled"](spark, D).collect()}} >= set(range(96))
     assert QUERIES["speed_matched"](spark, D).count() > 0

@@ -9,44 +9,6 @@ from cadenza.operators import learning as L
 from cadenza.streaming import review as R
 
 
-def test_machine_budget_versions_and_refusals():
-    state, came = R.machine_start(), []
-    for seq in range(3 * (R.REVIEWS + 1)):
-        state, x = R.machine_step(state, {"seq": seq, "query": seq // 3, "stage": R.STAGES[seq % 3], "decision": "review"}, True)
-        came.append(x)
-    assert came[:3] == ["retrieve", "ask", "labelled"] and came[-3:] == ["retrieve", "budget_exhausted", "refused"] and state[2] == state[3] == R.REVIEWS
-    state, x = R.machine_step(R.machine_start(), {"seq": 0, "query": 1, "stage": "summary", "decision": "review"}, False)
-    assert R.machine_step(state, {"seq": 0, "query": 1, "stage": "retrieval", "decision": "accept"}, False)[1] == "refused"
-    assert R.machine_step(state, {"seq": 1, "query": 2, "stage": "retrieval", "decision": "accept"}, False)[1] == "refused"
-    assert R.machine_step(state, {"seq": 1, "query": 1, "stage": "retrieval", "decision": "accept"}, False)[1] == "accepted"
-
-
-def test_ledger():
-    state = (0, 0, -1)
-    for seq, (kind, cost) in enumerate([("reserve", None), ("finish", 11), ("reserve", None), ("finish", None), ("reserve", None)]):
-        state, came = R.ledger_step(state, {"seq": seq, "kind": kind, "cost": cost}, 2)
-    assert came == "over_cap" and state == (2, 11 + R.RESERVED, 4)
-
-
-def rows(n):
-    rng = random.Random(3)
-    return [(f"{rng.choice(['adaptive', 'fixed'])}-{rng.randrange(2)}", i, 0, R.STAGES[rng.randrange(3)], rng.choice(["accept", "review"])) for i in range(n)]
-
-
-SCHEMA = "arm string, seq long, query long, stage string, decision string"
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    data = rows(120)
-    for k in range(3):
-        spark.createDataFrame(data[40 * k : 40 * k + 40], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = R.stream_machine(source).writeStream.format("memory").queryName("machine").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("machine").collect()))
-    assert got == sorted(map(tuple, R.run_machine(spark.createDataFrame(data, SCHEMA)).collect()))
-
-
 def test_attempts_and_windows_on_a_stream(spark, tmp_path):
     x = spark.createDataFrame([("a", "2026-01-01 00:10:00", 1.0), ("a", "2026-01-01 00:20:00", 2.0), ("b", "2026-01-01 01:10:00", 3.0)], "k string, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
     x.coalesce(1).write.parquet(str(tmp_path / "in"))
