@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Samples of a block; items combined in one row; blocks broadcast at most, with a few numbers each (about 10 MB).
@@ -21,18 +21,22 @@ BLOCK, FANOUT, BROADCAST_BLOCKS = 16_384, 256, 50_000
 Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share, and read back: its lineage is cut, and what lost executors held is there still. Only local sessions may leave spark.checkpoint.dir unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share, from spark.checkpoint.dir. Only a local session may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut, and what lost executors held is there still."""
+    path = f"{shared_folder(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(events: DataFrame, rec: Column, ts: str = "ts", tie: str = "event_id", period: str = "day") -> DataFrame:
