@@ -41,12 +41,12 @@ def canonical(token: str) -> str:
 
 
 class _Hashes(dict):
-    """By token: the hash of its template token, that of the token itself, and whether it is a literal; starts anew when full."""
+    """Hashes of template tokens by token, odd for literals and even for placeholders; starts anew when full."""
 
-    def __missing__(self, token: str) -> tuple[int, int, bool]:
+    def __missing__(self, token: str) -> int:
         template = canonical(token)
-        self[token] = found = (xxhash.xxh3_64_intdigest(template), xxhash.xxh3_64_intdigest(token.lstrip(MARK).lower(), 1), template not in (NAME, NUM, UNIT))
-        return found
+        self[token] = h = xxhash.xxh3_64_intdigest(template) >> 1 << 1 | (template not in (NAME, NUM, UNIT))
+        return h
 
 
 def _rolled(h: np.ndarray, length: int) -> np.ndarray:
@@ -68,15 +68,21 @@ def windows(text: str | None, memo: _Hashes, lengths: list[int] | None = None) -
         return tokens, []
     if len(memo) > MEMO:
         memo.clear()
-    templates, exact, literal = (np.array(x, dtype=t) for x, t in zip(zip(*[memo[t] for t in tokens], strict=True), (np.uint64, np.uint64, np.int64), strict=True))
-    found = []
+    templates, exact, found = np.array([memo[t] for t in tokens], dtype=np.uint64), None, []
     for length in lengths if lengths is not None else [min(WINDOW, len(tokens))]:
         if len(tokens) < length or (length < INSIDE and len(tokens) > length):
             continue
         h = _rolled(templates, length)
         # what has no literal token, or is short, tells too little by its template: its values count
-        bare = np.ones(len(h), bool) if length < WINDOW else np.convolve(literal, np.ones(length, dtype=np.int64), "valid") == 0
-        found.append((length, np.where(bare, _rolled(exact, length), h) if bare.any() else h))
+        bare = np.ones(len(h), bool)
+        if length >= WINDOW:
+            upto = np.concatenate([[0], np.cumsum(templates & np.uint64(1), dtype=np.int64)])
+            bare = upto[length:] == upto[:-length]
+        if bare.any():
+            if exact is None:
+                exact = np.array([xxhash.xxh3_64_intdigest(t.lstrip(MARK).lower(), 1) for t in tokens], dtype=np.uint64)
+            h = np.where(bare, _rolled(exact, length), h)
+        found.append((length, h))
     return tokens, found
 
 
