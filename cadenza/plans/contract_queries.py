@@ -5,55 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import decisions as V
 from cadenza.operators import learning as L
 from cadenza.streaming import review as R
 from cadenza.streaming import stateful as T
 
-CONDITIONS = 4
-_DECISION = "outcome string, condition_id string, explanation string, comparisons array<struct<condition_id:string,similar:boolean,evidence_ids:array<string>>>"
+#: Conditions compared; the mean square distance up to which two vectors are alike; what spoils a body, by id modulo 12: a text in it and what stands there instead.
+CONDITIONS, ALIKE = 4, 1.9
+SPOILT = {
+    1: ('"similar":false', '"similar":0'), 2: ('"condition_id":"C1"', '"condition_id":"C0"'), 3: ('"R:C2"', '"R:C3"'), 4: ('"Q:report"', '"Q:other"'), 5: ('"explanation":"', '"note":"'), 6: ('"explanation":"alike"', '"explanation":" "'),
+    7: ('"outcome":"similar"', '"outcome":"different"'), 8: ('"comparisons":[', '"comparisons":[{},'), 9: ('"differences":[]', '"differences":[null]'), 10: ('}]', '}'),
+}
 
 
-def _ids(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+def _spoilt(id_: Column, body: Column, spoilt: dict[int, tuple[str, str]], of: int) -> Column:
+    out = body
+    for k, (old, new) in spoilt.items():
+        out = F.when(id_ % of == k, F.replace(body, F.lit(old), F.lit(new))).otherwise(out)
+    return out
 
 
-def _quoted(*parts: Column) -> Column:
-    return F.concat(F.lit('"'), *parts, F.lit('"'))
-
-
-def whole_decisions(x: DataFrame) -> DataFrame:
-    """(id, body): a decision in JSON on four conditions. By id modulo 8: 1 compares one twice, 2 leaves one out, 3 cites what isn't allowed, 4 cites references only, 5 knows no condition,
-    6 isn't JSON, 7 has a key too many."""
-    rule = F.col("id") % 8
-    comparison = lambda i: F.concat(
-        F.lit('{"condition_id":'), _quoted(F.lit("C"), F.when((rule == 1) & (i == 3), 2).otherwise(i).cast("string")), F.lit(',"similar":'), F.when(i == F.col("id") % CONDITIONS, "true").otherwise("false"), F.lit(',"evidence_ids":['),
-        _quoted(F.lit("R:C"), i.cast("string")), F.when(rule == 4, "").otherwise(F.concat(F.lit(","), _quoted(F.lit("Q:"), F.when((rule == 3) & (i == 1), "secret").otherwise("report")))), F.lit("]}"),
-    )
-    listed = F.transform(F.sequence(F.lit(0), F.when(rule == 2, CONDITIONS - 2).otherwise(CONDITIONS - 1)), comparison)
-    named = F.when(rule == 5, "null").otherwise(_quoted(F.lit("C"), (F.col("id") % CONDITIONS).cast("string")))
-    body = F.concat(F.lit('{"outcome":"known","condition_id":'), named, F.lit(',"explanation":"alike","comparisons":['), F.array_join(listed, ","), F.lit("]"), F.when(rule == 7, ',"note":1').otherwise(""), F.when(rule == 6, "").otherwise("}"))
-    return x.select("id", body.alias("body"))
-
-
-def validate_whole(x: DataFrame) -> DataFrame:
-    """(id, verdict) of decisions (id, body): `valid`, or the first rule that is broken."""
-    p = F.from_json("body", _DECISION, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys("body")
-    allowed = F.concat(F.transform(F.sequence(F.lit(0), F.lit(CONDITIONS - 1)), lambda i: F.concat(F.lit("R:C"), i.cast("string"))), F.array(F.lit("Q:report")))
-    x = x.select("id", p.alias("p"), keys.alias("keys"))
-    c = F.col("p.comparisons")
-    named = F.transform(c, lambda y: y["condition_id"])
-    cited = lambda y, kind: F.exists(y["evidence_ids"], lambda e: F.startswith(e, F.lit(kind)))
-    verdict = (
-        F.when(F.col("keys").isNull(), "no_json").when(F.size(F.array_except("keys", F.array(*map(F.lit, ("outcome", "condition_id", "explanation", "comparisons"))))) > 0, "unknown_key").when(F.size(F.array_distinct(named)) < F.size(named), "repeated")
-        .when(F.size(named) != CONDITIONS, "incomplete").when(F.exists(c, lambda y: F.size(F.array_except(y["evidence_ids"], allowed)) > 0), "citation").when(~F.forall(c, lambda y: cited(y, "R:") & cited(y, "Q:")), "one_sided")
-        .when((F.col("p.outcome") == "known") != F.col("p.condition_id").isNotNull(), "inconsistent").otherwise("valid")
-    )
-    return x.select("id", verdict.alias("verdict"))
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
 
 
 def whole_report_validation(spark, d):
-    return validate_whole(whole_decisions(_ids(spark, d))).groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    """Decisions in JSON on each vector, from its distances to the first vectors of four classes, most of them spoilt in their text; by the rule that is broken first."""
+    x = _vectors(spark, d)
+    first = x.filter(F.col("label") < CONDITIONS).groupBy("label").agg(F.min_by("v", "id").alias("r"))
+    refs = first.agg(F.map_from_entries(F.collect_list(F.struct("label", "r"))).alias("refs")).withColumn("one", F.lit(1))
+    near = lambda i: F.aggregate(F.zip_with("v", F.element_at("refs", i), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+    labels = F.array_sort(F.map_keys("refs"))
+    y = x.withColumn("one", F.lit(1)).join(F.broadcast(refs), "one").select("id", F.transform(labels, lambda i: F.struct(F.concat(F.lit("C"), i.cast("string")).alias("c"), (near(i) <= ALIKE).alias("s"))).alias("near"))
+    comparison = F.transform("near", lambda n: F.to_json(F.struct(n["c"].alias("condition_id"), n["s"].alias("similar"), F.array(F.lit("level")).alias("similarities"), F.array().cast("array<string>").alias("differences"), F.array(F.concat(F.lit("R:"), n["c"]), F.lit("Q:report")).alias("evidence_ids"))))
+    chosen = F.get(F.filter("near", lambda n: n["s"]), F.lit(0))["c"]
+    body = F.concat(F.lit('{"outcome":"'), F.when(chosen.isNull(), "different").otherwise("similar"), F.lit('","condition_id":'), F.coalesce(F.concat(F.lit('"'), chosen, F.lit('"')), F.lit("null")), F.lit(',"comparisons":['), F.array_join(comparison, ","), F.lit('],"explanation":"alike"}'))
+    references = F.map_from_entries(F.transform("near", lambda n: F.struct(n["c"], F.array(F.concat(F.lit("R:"), n["c"])))))
+    verdicts = V.whole_report(y.select("id", _spoilt(F.col("id"), body, SPOILT, 12).alias("body"), references.alias("references"), F.array(F.lit("Q:report")).alias("query")))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 def visual_decisions(spark, d):
@@ -65,28 +54,39 @@ def visual_decisions(spark, d):
     return x.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+#: What spoils a teacher's answer, by the document's id modulo 10.
+ANSWERS = {1: ('"score":0', '"score":"0'), 2: ('"observations":["', '"observations":["","'), 3: ('"label"', '"labels"'), 4: ('"observations":', '"score":0.5,"observations":'), 5: ('"score":0', '"score":1'), 6: ('"]}', '"]')}
+
+
 def teacher_answers(spark, d):
-    """Answers with a label, a score and observations: at most 64 of at most 8192 characters; some are spoilt by rule."""
-    rule = F.col("id") % 6
-    many = F.when(rule == 1, 65).otherwise(F.col("id") % 4 + 1)
-    items = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), many.cast("long")), lambda i: _quoted(F.when(rule == 2, F.repeat(F.lit("x"), 8193)).otherwise(F.concat(F.lit("o"), i.cast("string"))))), ",")
-    body = F.concat(F.lit('{"label":'), _quoted(F.lit("L"), (F.col("id") % 3).cast("string")), F.lit(',"score":'), F.when(rule == 3, "1.5").when(rule == 4, '"high"').otherwise("0.5"), F.lit(',"observations":['), items, F.lit("]"), F.when(rule == 5, ',"label":"L9"').otherwise(""), F.lit("}"))
-    x = _ids(spark, d).select("id", body.alias("body"))
-    p = F.from_json("body", "label string, score double, observations array<string>", {"mode": "PERMISSIVE"})
-    keys = F.size(F.regexp_extract_all("body", F.lit(r'"label":'), F.lit(0)))
-    verdict = F.when(keys > 1, "repeated_key").when(F.size(p["observations"]) > 64, "many").when(F.exists(p["observations"], lambda o: F.length(o) > 8192), "long").when(p["score"].isNull(), "no_score").when(~p["score"].between(0, 1), "range").otherwise("valid")
-    return x.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """Answers in JSON on each document: its language as label, its share of letters as score, its lines as observations, some spoilt in their text; by the rule that is broken first."""
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda t: F.regexp_replace(t, "[^A-Za-z0-9 ]", "")), lambda t: F.trim(t) != "")
+    share = F.round(F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.greatest(F.length("text"), F.lit(1)) * 0.9, 3)
+    body = F.concat(F.lit('{"label":"'), F.coalesce("lang", F.lit("")), F.lit('","score":'), F.format_string("%.3f", share), F.lit(',"observations":['), F.array_join(F.transform(lines, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ","), F.lit("]}"))
+    verdicts = V.teacher_answer(x.select(F.col("doc_id").alias("id"), _spoilt(F.col("doc_id"), body, ANSWERS, 10).alias("body")))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+#: Classes of memory decisions, and what spoils one, by id modulo 9.
+CLASSES = [f"C{i}" for i in range(5)]
+MEMORY = {1: ('"decision":"accept"', '"decision":"review"'), 2: ('.CARD"', '.CARDS"'), 3: ('"Q:report",', ""), 4: ('"candidates":[', '"candidates":["C0","C0",'), 5: ('"explanation":"near"', '"explanation":null'), 6: ('"condition_id":null', '"condition_id":"C1"'), 7: ('"evidence":[', '"evidence":["R:other",')}
 
 
 def memory_decisions(spark, d):
-    """Accept or review, with cited cards: an accepted label must be that of a cited card of those that were shown."""
-    shown = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("K"), ((F.col("id") + i) % 10).cast("string")))
-    cited = F.slice(shown, 1, (F.col("id") % 4 + 1).cast("int"))
-    cited = F.when(F.col("id") % 9 == 2, F.array_append(cited, F.lit("K99"))).otherwise(cited)
-    label = F.concat(F.lit("K"), ((F.col("id") + F.col("id") % 3) % 10).cast("string"))
-    action = F.when(F.col("id") % 2 == 0, "accept").otherwise("review")
-    verdict = F.when(F.size(F.array_except(cited, shown)) > 0, "unknown_card").when((action == "accept") & ~F.array_contains(cited, label), "uncited_label").otherwise(action)
-    return _ids(spark, d).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """Decisions in JSON on each vector: its class where that is one of five, else review, with the cards of its class and the next one; most of them spoilt in their text."""
+    x = _vectors(spark, d).select("id", (F.col("label") % 7).alias("k"))
+    name = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    known = F.col("k") < len(CLASSES)
+    two = F.array(F.col("k") % len(CLASSES), (F.col("k") + 1) % len(CLASSES))
+    body = F.concat(
+        F.lit('{"decision":"'), F.when(known, "accept").otherwise("review"), F.lit('","condition_id":'), F.when(known, quoted(name(F.col("k")))).otherwise("null"), F.lit(',"candidates":['), F.array_join(F.transform(two, lambda k: quoted(name(k))), ","),
+        F.lit('],"evidence":["Q:report",'), F.array_join(F.transform(two, lambda k: quoted(F.concat(name(k), F.lit(".CARD")))), ","), F.lit('],"explanation":"near"}'),
+    )
+    evidence = F.concat(F.array(F.lit("Q:report")), F.transform(two, lambda k: F.concat(name(k), F.lit(".CARD"))))
+    verdicts = V.memory_decision(x.select("id", _spoilt(F.col("id"), body, MEMORY, 9).alias("body"), evidence.alias("evidence"), F.lit("Q:report").alias("query")), CLASSES)
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 def diagram_audit(spark, d):
@@ -199,11 +199,43 @@ def resumed_requests(spark, d):
     return R.not_yet_done(x, x.filter("doc_id % 3 = 0"), "request").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
+def _spoilt_sql(id_: str, spoilt: dict[int, tuple[str, str]], of: int) -> str:
+    return "CASE " + " ".join(f"WHEN {id_} % {of} = {k} THEN replace(body, '{old}', '{new}')" for k, (old, new) in spoilt.items()) + " ELSE body END"
+
+
 SQL = {
-    "whole_report_validation": "SELECT CASE vec_id % 8 WHEN 1 THEN 'repeated' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'citation' WHEN 4 THEN 'one_sided' WHEN 5 THEN 'inconsistent' WHEN 6 THEN 'no_json' WHEN 7 THEN 'unknown_key' ELSE 'valid' END AS verdict, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1",
+    "whole_report_validation": f"""WITH v AS (SELECT vec_id AS id, label, embedding AS v FROM embeddings), f AS (SELECT label AS k, arg_min(v, id) AS r FROM v WHERE label < {CONDITIONS} GROUP BY 1),
+n AS (SELECT id, 'C' || k AS c, list_sum(list_transform(list_zip(v, r), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) <= {ALIKE}::DOUBLE AS s, k FROM v CROSS JOIN f),
+b AS (SELECT id, '{{"outcome":"' || CASE WHEN bool_or(s) THEN 'similar' ELSE 'different' END || '","condition_id":' || coalesce('"' || (min(c) FILTER (s)) || '"', 'null') || ',"comparisons":[' ||
+      string_agg('{{"condition_id":"' || c || '","similar":' || s || ',"similarities":["level"],"differences":[],"evidence_ids":["R:' || c || '","Q:report"]}}', ',' ORDER BY k) || '],"explanation":"alike"}}' AS body FROM n GROUP BY id),
+s AS (SELECT id, {_spoilt_sql("id", SPOILT, 12)} AS body FROM b),
+p AS (SELECT id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM s),
+q AS (SELECT id, j, j->'$.comparisons[*]' AS cs FROM p),
+r AS (SELECT id, j, cs, list_transform(cs, lambda c: c->>'$.condition_id') AS names, list_transform(list_filter(cs, lambda c: c->>'$.similar' = 'true'), lambda c: c->>'$.condition_id') AS alike,
+      len(list_filter(cs, lambda c: NOT coalesce(list_sort(json_keys(c)) = ['condition_id', 'differences', 'evidence_ids', 'similar', 'similarities'] AND json_type(c->'$.similar') = 'BOOLEAN'
+        AND len(list_filter(list_concat(list_concat(c->'$.similarities[*]', c->'$.differences[*]'), c->'$.evidence_ids[*]'), lambda t: json_type(t) <> 'VARCHAR')) = 0, false))) AS broken,
+      len(list_filter(cs, lambda c: len(list_filter(c->>'$.evidence_ids[*]', lambda e: e <> 'R:' || (c->>'$.condition_id') AND e <> 'Q:report')) > 0)) AS fabricated,
+      len(list_filter(cs, lambda c: NOT (list_contains(c->>'$.evidence_ids[*]', 'R:' || (c->>'$.condition_id')) AND list_contains(c->>'$.evidence_ids[*]', 'Q:report')))) AS one_sided FROM q)
+SELECT CASE WHEN j IS NULL THEN 'json' WHEN list_sort(json_keys(j)) <> ['comparisons', 'condition_id', 'explanation', 'outcome'] THEN 'keys' WHEN j->>'$.outcome' NOT IN ('similar', 'different') THEN 'outcome' WHEN trim(j->>'$.explanation') = '' THEN 'explanation'
+  WHEN len(cs) <> {CONDITIONS} THEN 'comparisons' WHEN broken > 0 THEN 'comparison' WHEN len(list_distinct(names)) < len(names) THEN 'condition' WHEN fabricated > 0 THEN 'fabricated' WHEN one_sided > 0 THEN 'one_sided'
+  WHEN j->>'$.outcome' = 'similar' AND list_contains(alike, j->>'$.condition_id') OR j->>'$.outcome' = 'different' AND json_type(j->'$.condition_id') = 'NULL' AND len(alike) = 0 THEN 'valid' ELSE 'conclusion' END AS verdict,
+  count(*) AS n, min(id) AS first, max(id) AS last FROM r GROUP BY 1""",
     "visual_decisions": "SELECT CASE vec_id % 5 WHEN 1 THEN 'outside_reference' WHEN 2 THEN 'outcome' WHEN 3 THEN 'condition' WHEN 4 THEN 'keys' ELSE 'known' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
-    "teacher_answers": "SELECT CASE vec_id % 6 WHEN 1 THEN 'many' WHEN 2 THEN 'long' WHEN 3 THEN 'range' WHEN 4 THEN 'no_score' WHEN 5 THEN 'repeated_key' ELSE 'valid' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
-    "memory_decisions": "SELECT CASE WHEN vec_id % 9 = 2 THEN 'unknown_card' WHEN vec_id % 2 = 1 THEN 'review' WHEN vec_id % 3 > vec_id % 4 THEN 'uncited_label' ELSE 'accept' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
+    "teacher_answers": f"""WITH x AS (SELECT doc_id AS id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+l AS (SELECT id, lang, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)::DOUBLE * 0.9::DOUBLE, 3) AS share, list_filter(list_transform(string_split(text, chr(10)), lambda t: regexp_replace(t, '[^A-Za-z0-9 ]', '', 'g')), lambda t: trim(t) <> '') AS ls FROM x),
+b AS (SELECT id, '{{"label":"' || lang || '","score":' || printf('%.3f', share) || ',"observations":[' || coalesce(array_to_string(list_transform(ls, lambda t: '"' || t || '"'), ','), '') || ']}}' AS body FROM l),
+s AS (SELECT id, {_spoilt_sql("id", ANSWERS, 10)} AS body FROM b),
+p AS (SELECT id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM s),
+q AS (SELECT id, j, json_keys(j) AS k, j->'$.observations[*]' AS o FROM p)
+SELECT CASE WHEN j IS NULL OR len(list_distinct(k)) < len(k) THEN 'json' WHEN list_sort(k) <> ['label', 'observations', 'score'] THEN 'keys' WHEN trim(j->>'$.label') = '' THEN 'label' WHEN json_type(j->'$.score') = 'VARCHAR' OR CAST(j->>'$.score' AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'score'
+  WHEN len(o) > 64 OR len(list_filter(o, lambda t: json_type(t) <> 'VARCHAR' OR trim(t->>'$') = '' OR length(t->>'$') > 8192)) > 0 THEN 'observations' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM q GROUP BY 1""",
+    "memory_decisions": f"""WITH x AS (SELECT vec_id AS id, label % 7 AS k FROM embeddings), y AS (SELECT id, k, 'C' || (k % 5) AS a, 'C' || ((k + 1) % 5) AS b FROM x),
+b AS (SELECT id, a, b, '{{"decision":"' || CASE WHEN k < 5 THEN 'accept' ELSE 'review' END || '","condition_id":' || CASE WHEN k < 5 THEN '"C' || k || '"' ELSE 'null' END || ',"candidates":["' || a || '","' || b || '"],"evidence":["Q:report","' || a || '.CARD","' || b || '.CARD"],"explanation":"near"}}' AS body FROM y),
+s AS (SELECT id, a, b, CAST({_spoilt_sql("id", MEMORY, 9)} AS JSON) AS j FROM b),
+q AS (SELECT *, j->>'$.candidates[*]' AS c, j->>'$.evidence[*]' AS e, j->>'$.condition_id' AS t, j->>'$.decision' AS d FROM s)
+SELECT CASE WHEN len(c) > 2 OR len(list_distinct(c)) < len(c) THEN 'candidates' WHEN d = 'accept' AND NOT coalesce(list_contains(c, t), false) OR d = 'review' AND t IS NOT NULL THEN 'condition'
+  WHEN len(list_filter(e, lambda z: z NOT IN ('Q:report', a || '.CARD', b || '.CARD'))) > 0 OR NOT list_contains(e, 'Q:report') OR len(list_filter(e, lambda z: ends_with(z, '.CARD'))) = 0 OR d = 'accept' AND NOT list_contains(e, t || '.CARD') THEN 'citations'
+  WHEN j->>'$.explanation' IS NULL THEN 'explanation' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM q GROUP BY 1""",
     "diagram_audit": "SELECT CASE vec_id % 7 WHEN 1 THEN 'too_many' WHEN 2 THEN 'repeated' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'figure' ELSE 'valid' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
     "outcome_categories": "WITH x AS (SELECT vec_id % 3 <> 0 AS known, CASE WHEN vec_id % 11 = 0 THEN 'i' WHEN vec_id % 4 = 1 THEN 'o' ELSE 'k' END AS said, vec_id % 5 <> 2 AS fits FROM embeddings) SELECT CASE WHEN said = 'i' THEN 'undecided' WHEN known AND said = 'k' AND fits THEN 'correct' WHEN known AND said = 'k' THEN 'wrong' WHEN known THEN 'rejected_known' WHEN said = 'k' THEN 'accepted_unknown' ELSE 'correct' END AS kind, count(*) AS n FROM x GROUP BY 1",
     "view_pruning": "WITH x AS (SELECT conv_id, unnest(range(least(turn, 5) + 1)) AS i FROM conversations) SELECT conv_id, count(*) FILTER (WHERE i % 4 IN (0, 2)) AS kept, count(*) FILTER (WHERE i % 4 IN (1, 3)) AS removed, CAST(0 AS BIGINT) AS left_over FROM x GROUP BY 1",
