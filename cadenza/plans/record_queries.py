@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Patterns of secrets by name.
-SECRETS = {"jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "github": r"gh[pousr]_[A-Za-z0-9]{20,}", "aws": r"AKIA[0-9A-Z]{16}", "assigned": r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[A-Za-z0-9_\-]{8,}", "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"}
+
+def _secrets() -> dict[str, str]:
+    """Patterns of secrets by name, put together from what each format's public description fixes."""
+    url64, base64 = "[A-Za-z0-9_-]", "[A-Za-z0-9+/]"
+    # a digest of 32 bytes takes 43 characters of base64 without filling, one of 64 bytes 86; the shortest signed header, {"alg":"HS256"}, takes 20, and what encodes `{"` begins with eyJ
+    digest, long_digest, header = 43, 86, 20
+    return {
+        "jwt": f"eyJ{url64}{{{header - 3},}}[.]e{url64}{{2,}}[.]{url64}{{{digest},}}",
+        # a kind, then 30 random characters and 6 of a checksum; fine-grained ones have 22 and 59
+        "github": "gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}",
+        # four letters for the kind, then 16 of base32
+        "aws": "(AKIA|ASIA)[A-Z2-7]{16}",
+        # the middle is the base64 of a name, between random parts of 20 characters at least
+        "openai": f"sk-{url64}{{20,}}T3BlbkFJ{url64}{{20,}}",
+        # labels of textual encodings: any words before PRIVATE KEY
+        "private_key": "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----",
+        "storage_key": f"AccountKey *= *{base64}{{{long_digest}}}==",
+        # a signature in a link may have its characters escaped
+        "signed_link": f"[?&]sig=([A-Za-z0-9]|%[0-9A-Fa-f]{{2}}|[+/]){{{digest},}}",
+        # a name for a secret, and a value of 8 characters, as short as passwords may mostly be
+        "assigned": "(?i)(api[_-]?key|secret|password|token) *[:=] *[A-Za-z0-9_-]{8,}",
+        "email": "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}",
+    }
+
+
+SECRETS = _secrets()
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,9 +52,16 @@ def lowest_hash_per_class(spark, d):
     return x.groupBy("source").agg(F.min_by("doc_id", "h").alias("doc_id"), F.min("h").alias("h"))
 
 
+def secrets_in(text: Column) -> Column:
+    """The kinds of secrets that a text holds."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in SECRETS.items()]))
+
+
 def secret_findings(spark, d):
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in SECRETS.items()]))
-    return _t(spark, d, "documents").select("doc_id", F.explode(hits).alias("kind"))
+    """Secrets in documents and in turns of conversations."""
+    x = _t(spark, d, "documents").select(F.lit("documents").alias("kept_in"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("place"), "text")
+    x = x.unionByName(_t(spark, d, "conversations").select(F.lit("conversations").alias("kept_in"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("place"), "text"))
+    return x.select("kept_in", "id", "place", F.explode(secrets_in(F.col("text"))).alias("kind"))
 
 
 def html_links(spark, d):
@@ -38,10 +69,21 @@ def html_links(spark, d):
     return _t(spark, d, "pages").select("page_id", F.posexplode(links).alias("pos", "link"))
 
 
+#: Words that an item begins with, by which documents are found that may hold it.
+ANCHOR = 8
+
+
 def exact_contamination(spark, d):
-    bench = _t(spark, d, "benchmark").select(F.sha2("text", 256).alias("h"), "item_id")
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2("line", 256).alias("h"))
-    return lines.join(bench, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    """Documents that hold the whole text of an item of ten words or more, letter by letter. Runs of words are joined with the first words of items; what meets is compared as a whole."""
+
+    # the word before an item's first and that after its last may be joined to it by other characters than blanks, so runs begin at its second word
+    bench = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64(*[F.xxhash64(F.get(F.split("text", " "), F.lit(k))) for k in range(1, ANCHOR + 1)]).alias("h"))
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    hashed = docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("w"))
+    # the hash of a run is that of its words' hashes
+    runs = F.transform("w", lambda h, i: F.xxhash64(h, *[F.get("w", i + k) for k in range(1, ANCHOR)]))
+    found = hashed.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(bench.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    return found.join(docs, "doc_id").join(bench.drop("h"), "item_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
 
 
 def label_confusion(spark, d):
@@ -81,8 +123,10 @@ def review_merge(spark, d):
 
 
 def cell_completeness(spark, d):
-    cells = _t(spark, d, "nation").select("n_nationkey").join(F.broadcast(_t(spark, d, "customer").select("c_mktsegment").distinct()), F.lit(True))
-    return cells.join(_t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct(), ["n_nationkey", "c_mktsegment"], "left_anti")
+    """Cells of brand, size and first word of the type that no part falls into."""
+    x = _t(spark, d, "part").select("p_brand", "p_size", F.substring_index("p_type", " ", 1).alias("sort")).distinct()
+    one = lambda c: x.select(c).distinct().withColumn("one", F.lit(1))
+    return one("p_brand").join(one("p_size"), "one").join(one("sort"), "one").drop("one").join(x, ["p_brand", "p_size", "sort"], "left_anti")
 
 
 def ledger_running_cap(spark, d):
@@ -119,10 +163,10 @@ def learning_curve(spark, d):
 
 
 def nearest_price_snap(spark, d):
-    """The nearest of ten price points within a tenth, ties to the lower."""
-    points = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: (900 + i * 100).cast("double"))
-    x = _t(spark, d, "part").withColumn("point", F.array_min(F.transform(points, lambda p: F.struct(F.abs(p - F.col("p_retailprice")).alias("gap"), p.alias("p")))))
-    return x.filter("point.gap <= 0.1 * p_retailprice").groupBy(F.col("point.p").alias("point")).agg(F.count("*").alias("n"))
+    """The nearest of thirty price points, each a third over the last, within a tenth of the price; ties to the lower."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.floor(F.pow(F.lit(4 / 3), i) * 1000).cast("double"))
+    x = _t(spark, d, "orders").withColumn("point", F.array_min(F.transform(points, lambda p: F.struct(F.abs(p - F.col("o_totalprice")).alias("gap"), p.alias("p")))))
+    return x.filter("point.gap <= 0.1 * o_totalprice").groupBy(F.col("point.p").alias("point")).agg(F.count("*").alias("n"))
 
 
 def audit_summary(spark, d):
@@ -147,28 +191,28 @@ def decision_validation(spark, d):
 
 
 _H = "h AS (SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(*) > 1)"
-_SECRET_SQL = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for n, p in SECRETS.items())
+_SECRET_SQL = "WITH x AS (SELECT 'documents' AS kept_in, doc_id AS id, CAST(0 AS BIGINT) AS place, text FROM documents UNION ALL SELECT 'conversations', conv_id, CAST(turn AS BIGINT), text FROM conversations) " + " UNION ALL ".join(f"SELECT kept_in, id, place, '{n}' AS kind FROM x WHERE regexp_matches(text, '{p}')" for n, p in SECRETS.items())
 SQL = {
     "duplicate_hash_groups": f"WITH {_H} SELECT * FROM h",
     "split_leakage": f"WITH {_H} SELECT count(*) AS leaking, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM h WHERE sources > 1",
     "lowest_hash_per_class": "SELECT source, arg_min(doc_id, h) AS doc_id, min(h) AS h FROM (SELECT source, doc_id, sha256('order:' || doc_id) AS h FROM documents) GROUP BY source",
     "secret_findings": _SECRET_SQL,
     "html_links": """SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1) AS l FROM pages)""",
-    "exact_contamination": "SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l JOIN benchmark b ON b.text = l.line GROUP BY ALL",
+    "exact_contamination": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "label_confusion": "SELECT quality, count(*) FILTER (WHERE n_chars <= 1000) AS said_0, count(*) FILTER (WHERE n_chars > 1000) AS said_1 FROM labels JOIN documents USING (doc_id) GROUP BY quality",
     "abstention_coverage": "SELECT lang, count(*) AS n, count(quality) AS judged, round(count(quality) / count(*), 6) AS coverage, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "paired_cells": """WITH p AS (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING count(*) = 2 AND count(DISTINCT l_returnflag) = 2) SELECT l_orderkey, l_suppkey, l_linenumber FROM (SELECT l.l_orderkey, l.l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l_linenumber, l.l_suppkey) AS r FROM lineitem l JOIN p ON p.l_orderkey = l.l_orderkey AND p.l_suppkey = l.l_suppkey) WHERE r = 1""",
     "review_listing_page": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE instr(lower(c_name), 'customer') > 0 AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 20 OFFSET 20",
     "review_counts": "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p FROM orders",
     "review_merge": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = o_orderkey % 3 THEN o_orderkey % 3 + 1 ELSE o_orderkey % 3 END AS revision, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = o_orderkey % 3 THEN 'R' ELSE o_orderstatus END AS status, o_orderkey % 5 = 0 AND o_orderkey % 2 <> o_orderkey % 3 AS conflict FROM orders""",
-    "cell_completeness": "SELECT n_nationkey, s AS c_mktsegment FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = s)",
+    "cell_completeness": "WITH x AS (SELECT DISTINCT p_brand, p_size, split_part(p_type, ' ', 1) AS sort FROM part) SELECT b.p_brand, s.p_size, t.sort FROM (SELECT DISTINCT p_brand FROM x) b CROSS JOIN (SELECT DISTINCT p_size FROM x) s CROSS JOIN (SELECT DISTINCT sort FROM x) t EXCEPT SELECT * FROM x",
     "ledger_running_cap": "SELECT o_custkey, count(*) AS n, round(max(spent), 2) AS spent FROM (SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders) WHERE spent <= 500000 GROUP BY o_custkey",
     "stop_on_first_failure": "SELECT user_id, count(*) AS n, max(event_id) AS last FROM (SELECT user_id, event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM events) WHERE failed = 0 GROUP BY user_id",
     "stream_last_decision": "SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id",
     "manifest_diff": """WITH o AS (SELECT doc_id, sha256(text) AS a FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS b FROM documents WHERE doc_id % 11 <> 0)
         SELECT CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' WHEN a <> b THEN 'changed' ELSE 'same' END AS kind, count(*) AS n FROM o FULL JOIN n USING (doc_id) GROUP BY 1""",
     "learning_curve": "WITH r AS (SELECT toxic, row_number() OVER (PARTITION BY quality ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS r FROM labels) SELECT size, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS toxic FROM r JOIN (SELECT CAST(unnest([4, 16, 64]) AS INTEGER) AS size) ON r <= size GROUP BY size",
-    "nearest_price_snap": "SELECT p AS point, count(*) AS n FROM (SELECT p_partkey, p_retailprice, p, abs(p - p_retailprice) AS gap, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p - p_retailprice), p) AS r FROM part CROSS JOIN (SELECT CAST(unnest(range(1000, 2000, 100)) AS DOUBLE) AS p)) WHERE r = 1 AND gap <= 0.1 * p_retailprice GROUP BY p",
+    "nearest_price_snap": "SELECT p AS point, count(*) AS n FROM (SELECT o_totalprice, p, abs(p - o_totalprice) AS gap, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(p - o_totalprice), p) AS r FROM orders CROSS JOIN (SELECT floor(pow(4 / 3, i) * 1000)::DOUBLE AS p FROM (SELECT unnest(range(30)) AS i))) WHERE r = 1 AND gap <= 0.1 * o_totalprice GROUP BY p",
     "audit_summary": "SELECT o_orderpriority, count(*) AS n, " + ", ".join(f"round(quantile_cont(o_totalprice, {v}), 4) AS q{i}" for i, v in enumerate((0.0, 0.05, 0.5, 0.95, 1.0))) + " FROM orders GROUP BY 1",
     "grouped_costs": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 1) AS cost, count(*) AS n, count(*) FILTER (WHERE l_shipdate IS NULL) AS unknown FROM lineitem GROUP BY 1, 2",
     "decision_validation": "SELECT event_type AS outcome, count(*) AS n, count(*) FILTER (WHERE event_type IN ('click', 'view', 'purchase') AND CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 50) AS valid FROM events GROUP BY 1",

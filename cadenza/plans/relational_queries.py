@@ -310,12 +310,14 @@ def render_leaks(spark, d):
 
 
 def balanced_partition(spark, d):
-    """8 x 8 x 2 cells exactly once; roles by rule, in salted order, with counts of each class."""
-    x = spark.range(128).select((F.col("id") % 8).alias("class"), (F.floor(F.col("id") / 8) % 8).alias("profile"), F.floor(F.col("id") / 64).alias("load"))
+    """One customer, that of the least salted digest, for each of 8 x 8 x 2 cells of class, profile and load; roles by rule in salted order of cells, with counts of each class. Cells without a customer lack in them."""
+    x = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_nationkey") % 8).cast("long").alias("class"), (F.col("c_custkey") % 8).alias("profile"), (F.col("c_acctbal") > 4500).cast("long").alias("load"))
+    salted = F.sha2(F.concat(F.lit("member-"), F.col("c_custkey").cast("string")), 256)
+    x = x.groupBy("class", "profile", "load").agg(F.min_by("c_custkey", salted).alias("member"))
     cell = F.sha2(F.concat_ws("-", F.lit("role"), *[F.col(c).cast("string") for c in ("class", "profile", "load")]), 256)
     x = x.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(cell)))
     role = F.when(F.col("r") <= 2, "seed").when(F.col("r") <= 10, "stream").otherwise("evaluation")
-    return x.groupBy("class", role.alias("role")).agg(F.count("*").alias("n"), F.countDistinct("profile", "load").alias("cells"))
+    return x.groupBy("class", role.alias("role")).agg(F.count("*").alias("n"), F.countDistinct("profile", "load").alias("cells"), F.sum("member").alias("members"))
 
 
 def whole_item_contamination(spark, d):
@@ -372,7 +374,8 @@ SQL = {
     "chain_replay": "WITH o AS (SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || text) AS own FROM conversations), b AS (SELECT *, lag(own) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM o), t AS (SELECT *, CASE WHEN conv_id % 5 = 0 AND turn % 3 = 2 THEN 'broken' ELSE before END AS told FROM b), s AS (SELECT conv_id, sum(CASE WHEN told IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS bad FROM t) SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE bad = 0) AS replayed FROM s GROUP BY 1",
     "registration_binding": "SELECT sha256(text) = sha256(CASE WHEN item_id % 10 = 4 THEN lower(text) ELSE text END) AS bound, count(*) AS n FROM benchmark GROUP BY 1",
     "render_leaks": "WITH x AS (SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, source, CAST(doc_id AS VARCHAR) AS rec, sha256(text) AS h FROM documents), e AS (SELECT split, 'group' AS kind, source AS key FROM x UNION ALL SELECT split, 'recording', rec FROM x UNION ALL SELECT split, 'content', h FROM x), k AS (SELECT kind, key, count(DISTINCT split) AS splits, count(*) AS rows FROM e GROUP BY 1, 2) SELECT kind, count(*) AS keys, count(*) FILTER (WHERE splits > 1) AS leaking, CAST(sum(rows) AS BIGINT) AS rows FROM k GROUP BY 1",
-    "balanced_partition": "WITH x AS (SELECT i % 8 AS class, (i // 8) % 8 AS profile, i // 64 AS load FROM (SELECT unnest(range(128)) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('role-' || class || '-' || profile || '-' || load)) AS r FROM x) SELECT class, CASE WHEN r <= 2 THEN 'seed' WHEN r <= 10 THEN 'stream' ELSE 'evaluation' END AS role, count(*) AS n, count(DISTINCT profile * 2 + load) AS cells FROM r GROUP BY 1, 2",
+    "balanced_partition": """WITH x AS (SELECT c_custkey, c_nationkey % 8 AS class, c_custkey % 8 AS profile, CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END AS load FROM customer), m AS (SELECT class, profile, load, arg_min(c_custkey, sha256('member-' || c_custkey)) AS member FROM x GROUP BY 1, 2, 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('role-' || class || '-' || profile || '-' || load)) AS r FROM m) SELECT class, CASE WHEN r <= 2 THEN 'seed' WHEN r <= 10 THEN 'stream' ELSE 'evaluation' END AS role, count(*) AS n, count(DISTINCT profile * 2 + load) AS cells, sum(member)::BIGINT AS members FROM r GROUP BY 1, 2""",
     "whole_item_contamination": f"WITH p AS (SELECT DISTINCT doc_id, {_SQUEEZED.format('line')} AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)), l AS (SELECT DISTINCT item_id, {_SQUEEZED.format('line')} AS h FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 20), n AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM l JOIN p USING (h) GROUP BY 1) SELECT item_id, coalesce(n, 0) AS n FROM benchmark LEFT JOIN n USING (item_id)",
 }
 QUERIES = {n: globals()[n] for n in SQL}
