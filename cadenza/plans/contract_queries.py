@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import decisions as V
 from cadenza.operators import learning as L
+from cadenza.operators import nested as N
 from cadenza.streaming import review as R
 from cadenza.streaming import stateful as T
 
@@ -109,16 +110,39 @@ def outcome_categories(spark, d):
     return _ids(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+#: Views that are taken out of packets, and keys whose texts stay in them.
+PRUNED, TEXTS = ["cepstrum", "orders"], ["status"]
+_VIEWS = ("welch", "cepstrum", "ridge", "orders")
+
+
+def _packets(spark: SparkSession, d: str) -> DataFrame:
+    """A packet in JSON for each conversation: its turns with views of each, and cells that cite them."""
+    x = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    views = F.struct(*[F.when((F.col("turn") + k) % 3 != 0, F.struct((F.col("n") * (k + 1)).alias("power"), F.array(F.col("turn"), F.col("n")).alias("bins"), F.col("role").alias("note"))).alias(v) for k, v in enumerate(_VIEWS)])
+    turn = F.struct("turn", F.struct("n", F.col("role").alias("status"), F.lit("free text").alias("remark"), views.alias("views")).alias("t"), F.transform(F.array(*map(F.lit, _VIEWS)), lambda v: F.concat(F.lit("report."), F.col("turn").cast("string"), F.lit("."), v)).alias("cells"))
+    y = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    return y.select(F.col("conv_id").alias("id"), F.to_json(F.struct(F.transform("t", lambda t: t["t"]).alias("turns"), F.flatten(F.transform("t", lambda t: t["cells"])).alias("cells"))).alias("body"))
+
+
 def view_pruning(spark, d):
-    """Citations of pruned views are taken out, and none may be left: kept, removed and left over for each conversation."""
-    cites = F.transform(F.sequence(F.lit(0), F.least(F.col("turn").cast("int"), F.lit(5))), lambda i: F.concat_ws(".", F.lit("report"), i.cast("string"), F.element_at(F.array(*map(F.lit, ("welch", "cepstrum", "ridge", "orders"))), (i % 4 + 1).cast("int"))))
-    gone = F.array(F.lit("cepstrum"), F.lit("orders"))
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    x = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", cites.alias("c"))
-    kept = F.filter("c", lambda c: ~F.array_contains(gone, last(c)))
-    x = x.select("conv_id", "c", kept.alias("k"))
-    left = F.size(F.filter("k", lambda c: F.array_contains(gone, last(c))))
-    return x.groupBy("conv_id").agg(F.sum(F.size("k")).alias("kept"), F.sum(F.size("c") - F.size("k")).alias("removed"), F.sum(left).alias("left_over"))
+    """Packets without some views, and without what cites them, put together again: values before and after, the sum of numbers that are left, and what a second reading still finds of those views."""
+    tree = N.nodes(spark, _packets(spark, d))
+    after = N.nodes(spark, N.assembled(N.pruned(tree, PRUNED)))
+    number = F.coalesce(F.col("value").try_cast("double"), F.lit(0.0))
+    names = F.array(*[F.lit(f".{v}") for v in PRUNED])
+    left = F.arrays_overlap("path", names) | F.coalesce(F.col("value").rlike("[.](" + "|".join(PRUNED) + ')"$'), F.lit(False))
+    old = tree.groupBy("id").agg(F.count("value").alias("before"))
+    new = after.groupBy("id").agg(F.count("value").alias("kept"), F.sum(number).alias("total"), F.count_if(left).alias("left_over"))
+    return old.join(new, "id", "left")
+
+
+def evidence_packets(spark, d):
+    """Packets without free texts: values of each kind that are left, and the turns of the packet put together."""
+    tree = N.without_texts(N.nodes(spark, _packets(spark, d)), TEXTS)
+    texts = F.coalesce(F.startswith("value", F.lit('"')), F.lit(False))
+    kinds = tree.filter("kind = 'value'").groupBy("id").agg(F.count_if(texts).alias("texts"), F.count_if(~texts).alias("others"))
+    turns = F.size(F.variant_get(F.parse_json("body"), "$.turns", "array<variant>"))
+    return kinds.join(N.assembled(tree).select("id", turns.alias("turns")), "id")
 
 
 def silver_labels(spark, d):
@@ -139,6 +163,14 @@ def specialist_scores(spark, d):
     return said.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("label")).alias("correct"), F.round(F.avg("score"), 3).alias("score"))
 
 
+def margin_machine(spark, d):
+    """A margin machine with a radial kernel on embeddings, classes weighed alike: every fifth row is held out; right answers by class."""
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"), F.col("label").cast("string").alias("label"))
+    held = x.filter("id % 5 = 0")
+    said = L.fit_margins(x.filter("id % 5 <> 0").select("features", "label"), features=128).predict(held).join(held.select("id", "label"), "id")
+    return said.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("label")).alias("correct"))
+
+
 #: Reviews that an arm may ask a person for; requests of a run at most, cents each reserves, milliseconds until one counts as lost.
 REVIEWS, LIMIT = 16, T.Budget(most=40, reserve=411, lost=7_200_000)
 
@@ -238,7 +270,10 @@ SELECT CASE WHEN len(c) > 2 OR len(list_distinct(c)) < len(c) THEN 'candidates'
   WHEN j->>'$.explanation' IS NULL THEN 'explanation' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM q GROUP BY 1""",
     "diagram_audit": "SELECT CASE vec_id % 7 WHEN 1 THEN 'too_many' WHEN 2 THEN 'repeated' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'figure' ELSE 'valid' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
     "outcome_categories": "WITH x AS (SELECT vec_id % 3 <> 0 AS known, CASE WHEN vec_id % 11 = 0 THEN 'i' WHEN vec_id % 4 = 1 THEN 'o' ELSE 'k' END AS said, vec_id % 5 <> 2 AS fits FROM embeddings) SELECT CASE WHEN said = 'i' THEN 'undecided' WHEN known AND said = 'k' AND fits THEN 'correct' WHEN known AND said = 'k' THEN 'wrong' WHEN known THEN 'rejected_known' WHEN said = 'k' THEN 'accepted_unknown' ELSE 'correct' END AS kind, count(*) AS n FROM x GROUP BY 1",
-    "view_pruning": "WITH x AS (SELECT conv_id, unnest(range(least(turn, 5) + 1)) AS i FROM conversations) SELECT conv_id, count(*) FILTER (WHERE i % 4 IN (0, 2)) AS kept, count(*) FILTER (WHERE i % 4 IN (1, 3)) AS removed, CAST(0 AS BIGINT) AS left_over FROM x GROUP BY 1",
+    "view_pruning": f"""WITH x AS (SELECT conv_id AS id, turn, length(text) AS n FROM conversations), v AS (SELECT id, turn, n, k.k, k.k IN (1, 3) AS gone, (turn + k.k) % 3 <> 0 AS there FROM x CROSS JOIN (SELECT unnest(range(4)) AS k) k)
+SELECT id, sum(CASE WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS before, sum(CASE WHEN gone THEN 0 WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS kept,
+       sum(CASE WHEN there AND NOT gone THEN n * (k + 1) + turn + n ELSE 0 END) + sum(CASE WHEN k = 0 THEN n ELSE 0 END) AS total, CAST(0 AS BIGINT) AS left_over FROM v GROUP BY id""",
+    "evidence_packets": "WITH x AS (SELECT conv_id AS id, turn, (turn % 3 <> 0)::INT + ((turn + 1) % 3 <> 0)::INT + ((turn + 2) % 3 <> 0)::INT + (turn % 3 <> 0)::INT AS views FROM conversations) SELECT id, count(*) AS texts, (count(*) + 3 * sum(views))::BIGINT AS others, count(*)::INTEGER AS turns FROM x GROUP BY id",
     "silver_labels": "SELECT CASE WHEN doc_id % 4 = 3 THEN 'not_attempted' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 1 OR (doc_id % 7 <> 2 AND lang IS NULL) THEN 'abstained' WHEN doc_id % 7 = 2 OR lang NOT IN ('en', 'de', 'fr', 'es') OR doc_id % 5 = 1 THEN 'failed' ELSE 'labelled' END AS status, count(*) AS n FROM documents GROUP BY 1",
     "review_machine": f"""WITH x AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'adaptive-' ELSE 'fixed-' END || user_id AS arm, event_id AS id, epoch_us(ts) AS t0 FROM events),
 a AS (SELECT *, id % 13 <> 0 AS own, id % 13 <> 0 AND id % 3 = 2 AS asks, count(*) FILTER (id % 13 <> 0 AND id % 3 = 2) OVER (PARTITION BY arm ORDER BY t0, id) AS nth FROM x),
@@ -255,4 +290,4 @@ s AS (SELECT run, CAST(sum(CASE WHEN fin = 'settled' THEN cost WHEN taken THEN {
 SELECT run, outcome, count(*) AS n, any_value(spent) AS spent FROM o JOIN s USING (run) WHERE outcome IS NOT NULL GROUP BY run, outcome""",
     "resumed_requests": "WITH x AS (SELECT doc_id, lang, sha256(text) AS h FROM documents) SELECT lang, count(*) AS n, min(doc_id) AS first FROM x WHERE h NOT IN (SELECT h FROM x WHERE doc_id % 3 = 0 AND h IS NOT NULL) OR h IS NULL GROUP BY 1",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "specialist_scores"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "specialist_scores", "margin_machine"]}
