@@ -154,7 +154,7 @@ def _arrays(rows: list) -> list[np.ndarray]:
 def base_path(x: DataFrame, rate: float, base: Base = Base()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The base frequency of each recording of x (rec, n, value) as three tables.
 
-    about (rec, frames, reliable, status): `accepted` if all frames are reliable and the base never changes by more than a fifth from one frame to the next; else `missing` (a frame has no candidates, or there are
+    about (rec, frames, reliable, jump, status), jump being the largest step of log frequency on the path: `accepted` if all frames are reliable and the base never changes by more than a fifth from one frame to the next; else `missing` (a frame has no candidates, or there are
     fewer than two frames), `weak` (a frame isn't reliable) or `unsteady`. path (rec, frame, seconds, hz, score, lead, reliable): the candidate of each frame that the best path takes, of recordings without missing
     frames; a frame is reliable if score and lead over the best other candidate reach their limits. trace (rec, start, hz): runs of the base at each sample between the middles of first and last frames of
     accepted recordings, start being the n of a run's first sample; beyond these middles there is none.
@@ -215,7 +215,7 @@ def base_path(x: DataFrame, rate: float, base: Base = Base()) -> tuple[DataFrame
     path = each.select("rec", (F.col("since") + F.col("i")).alias("frame"), (((F.col("since") + F.col("i")) * hop + size / 2) / rate).alias("seconds"), "z.hz", "z.score", "z.lead", ((F.col("z.score") >= base.score) & (F.col("z.lead") >= base.lead)).alias("reliable"))
     sure = path.groupBy("rec").agg(F.sum(F.col("reliable").cast("long")).alias("reliable")).join(taken.groupBy("rec").agg(F.max("jump").alias("jump")), "rec")
     status = F.when(F.col("gap") | (F.col("frames") < 2), "missing").when(F.col("reliable") < F.col("frames"), "weak").when(F.col("jump") > math.log(STEP), "unsteady").otherwise("accepted")
-    about = durable(about.join(sure, "rec", "left").select("rec", "frames", F.coalesce("reliable", F.lit(0)).alias("reliable"), status.alias("status")))
+    about = durable(about.join(sure, "rec", "left").select("rec", "frames", F.coalesce("reliable", F.lit(0)).alias("reliable"), "jump", status.alias("status")))
 
     def traced(r: tuple) -> Iterator[tuple]:
         middles = (r.since + np.arange(len(r.hz))) * hop + size / 2
@@ -233,3 +233,28 @@ def traced_samples(x: DataFrame, trace: DataFrame) -> DataFrame:
     starts = few(trace.groupBy("rec").agg(F.min("start").alias("since")))
     at = trace.select("rec", "start", F.posexplode("hz").alias("i", "base")).select("rec", (F.col("start") + F.col("i")).alias("n"), "base")
     return x.join(at, ["rec", "n"]).join(starts, "rec").select("rec", (F.col("n") - F.col("since")).alias("n"), "value", "base")
+
+
+def estimates(about: DataFrame, path: DataFrame) -> DataFrame:
+    """(rec, hz, score, lead, jump, whole) of each recording, from base_path: the median base of its frames, the least score and lead of any, the largest step, and whether all frames have a base."""
+    ends = path.groupBy("rec").agg(F.median("hz").alias("hz"), F.min("score").alias("score"), F.min("lead").alias("lead"), F.count("*").alias("n"))
+    return about.join(ends, "rec", "left").select("rec", "hz", "score", "lead", "jump", F.coalesce((F.col("n") == F.col("frames")) & (F.col("frames") > 0), F.lit(False)).alias("whole"))
+
+
+def acceptance_grid(found: DataFrame, known: DataFrame, scores: list[float], leads: list[float], near: float = 0.03) -> DataFrame:
+    """(score, lead, accepted, near) of each pair of thresholds: how many recordings of found, see estimates, they would accept, and how many of these lie near the base of known (rec, base). Frames needn't be read again."""
+    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).alias("m")) for s in scores for m in leads]))
+    x = found.join(known, "rec").withColumn("g", grid)
+    taken = F.col("whole") & (F.col("score") >= F.col("g.s")) & (F.col("lead") >= F.col("g.m")) & (F.col("jump") <= math.log(STEP))
+    return x.groupBy(F.col("g.s").alias("score"), F.col("g.m").alias("lead")).agg(F.count_if(taken).alias("accepted"), F.count_if(taken & (F.abs(F.col("hz") / F.col("base") - 1) < near)).alias("near"))
+
+
+def chosen_thresholds(grid: DataFrame, precision: float = 0.97) -> DataFrame:
+    """The pair of thresholds that accepts most recordings with such a share of them near, the higher score, then lead, among equals; no row if none is so precise."""
+    return grid.filter((F.col("accepted") > 0) & (F.col("near") >= precision * F.col("accepted"))).orderBy(F.desc("accepted"), F.desc("score"), F.desc("lead")).limit(1)
+
+
+def estimator_check(about: DataFrame, found: DataFrame, known: DataFrame, near: float = 0.03) -> DataFrame:
+    """(ratio, recordings, near): accepted recordings by the ratio of their base to the known one, to the nearest quarter; recordings that weren't accepted are under null."""
+    x = about.join(found.select("rec", "hz"), "rec").join(known, "rec").withColumn("r", F.when(F.col("status") == "accepted", F.col("hz") / F.col("base")))
+    return x.groupBy((F.rint(F.col("r") * 4) / 4).alias("ratio")).agg(F.count("*").alias("recordings"), F.count_if(F.abs(F.col("r") - 1) < near).alias("near"))

@@ -121,3 +121,19 @@ def teacher_answer(x: DataFrame) -> DataFrame:
         ("observations", texts_only(seen) & (F.size(items(seen)) <= OBSERVATIONS) & F.forall(items(seen), lambda o: F.length(text(o)) <= CHARACTERS)),
     ]
     return x.select("id", _first_broken(rules))
+
+
+def report_schema(conditions: Column, name: str = "report_similarity") -> Column:
+    """The JSON schema that asks for a body as `whole_report` takes it, of an array of conditions: what may be chosen are these, or nothing."""
+    text_ = F.struct(F.lit("string").alias("type"))
+    texts = F.struct(F.lit("array").alias("type"), text_.alias("items"))
+    one_of = F.struct(F.lit("string").alias("type"), conditions.alias("enum"))
+
+    def shape(**parts: Column) -> Column:
+        return F.struct(F.lit("object").alias("type"), F.lit(False).alias("additionalProperties"), F.array(*map(F.lit, parts)).alias("required"), F.struct(*[c.alias(k) for k, c in parts.items()]).alias("properties"))
+
+    comparison = shape(condition_id=one_of, similar=F.struct(F.lit("boolean").alias("type")), similarities=texts, differences=texts, evidence_ids=texts)
+    chosen = F.struct(F.array(F.lit("string"), F.lit("null")).alias("type"), F.array_append(conditions, F.lit(None)).alias("enum"))
+    outcome = F.struct(F.lit("string").alias("type"), F.array(F.lit("similar"), F.lit("different")).alias("enum"))
+    body = shape(outcome=outcome, condition_id=chosen, comparisons=F.struct(F.lit("array").alias("type"), comparison.alias("items")), explanation=text_)
+    return F.to_json(F.struct(F.lit("json_schema").alias("type"), F.struct(F.lit(name).alias("name"), F.lit(True).alias("strict"), body.alias("schema")).alias("json_schema")))

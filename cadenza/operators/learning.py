@@ -94,7 +94,7 @@ def fit_margins(rows: DataFrame, cost: float = 10.0, features: int = 512, seed:
     weighed = rows.join(F.broadcast(counts), "label").withColumn("w", F.lit(n / k) / F.col("c")).withColumn("v", array_to_vector("features"))
     scale = Pipeline(stages=stages).fit(weighed)
     lifted = _lifted(scale.transform(weighed), wide, features, seed)
-    svc = LinearSVC(featuresCol="z", labelCol="y", weightCol="w", regParam=1 / (cost * n), maxIter=60, standardization=False)
+    svc = LinearSVC(featuresCol="z", labelCol="y", weightCol="w", regParam=1 / (cost * n), maxIter=30, standardization=False)
     return Margins(scale, OneVsRest(classifier=svc, featuresCol="z", labelCol="y", weightCol="w", parallelism=4).fit(lifted), wide, features, seed)
 
 

@@ -69,6 +69,31 @@ def teacher_answers(spark, d):
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
+def decision_schemas(spark, d):
+    """The schema of decisions on the brands of each size of parts: its length, what may be chosen, and the keys it asks for."""
+    x = spark.read.parquet(f"{d}/part.parquet").groupBy("p_size").agg(F.array_sort(F.collect_set("p_brand")).alias("c")).select("p_size", "c", V.report_schema(F.col("c")).alias("s"))
+    v = F.parse_json("s")
+    at = lambda p, t: F.variant_get(v, "$.json_schema.schema." + p, t)
+    return x.select("p_size", F.size(at("properties.condition_id.enum", "array<string>")).alias("choices"), F.array_join(at("required", "array<string>"), ",").alias("keys"), F.length("s").cast("long").alias("length"))
+
+
+def interleaved_arms(spark, d):
+    """Stages of two arms for each user in the order they are due: by position, then stage, the arm that goes first taking turns."""
+    x = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "ts", F.when(F.col("event_id") % 2 == 0, "fixed").otherwise("adaptive").alias("arm"))
+    place = Window.partitionBy("user_id", "arm").orderBy("ts", "event_id")
+    x = x.withColumn("position", F.row_number().over(place) - 1).withColumn("stage", F.explode(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, (F.col("event_id") % 3 + 1).cast("int"))))
+    second = F.col("arm") != F.when(F.col("position") % 2 == 0, "fixed").otherwise("adaptive")
+    due = Window.partitionBy("user_id").orderBy("position", "stage", second)
+    return x.select("user_id", "arm", "position", "stage", F.row_number().over(due).alias("turn"))
+
+
+def seeded_sample(spark, d):
+    """Ten documents of each source without replacement, by a salted digest of the id: any run, of any size of cluster, draws the same."""
+    x = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", F.sha2(F.concat(F.lit("draw-17:"), F.col("doc_id").cast("string")), 256).alias("h"))
+    drawn = x.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("h")))
+    return drawn.filter("place <= 10").select("source", "place", "doc_id")
+
+
 #: Classes of memory decisions, and what spoils one, by id modulo 9.
 CLASSES = [f"C{i}" for i in range(5)]
 MEMORY = {1: ('"decision":"accept"', '"decision":"review"'), 2: ('.CARD"', '.CARDS"'), 3: ('"Q:report",', ""), 4: ('"candidates":[', '"candidates":["C0","C0",'), 5: ('"explanation":"near"', '"explanation":null'), 6: ('"condition_id":null', '"condition_id":"C1"'), 7: ('"evidence":[', '"evidence":["R:other",')}
@@ -288,6 +313,11 @@ f AS (SELECT *, CASE WHEN NOT ends THEN NULL WHEN NOT taken THEN 'unknown' WHEN
 o AS (SELECT run, unnest([CASE WHEN taken THEN 'reserved' ELSE 'over_cap' END, CASE WHEN id % 17 = 0 THEN CASE WHEN taken THEN 'repeated' ELSE 'over_cap' END END, fin, CASE WHEN fin = 'late' OR taken AND (fin IS NULL OR fin = 'excess') AND due < until THEN 'lost' END]) AS outcome FROM f CROSS JOIN u),
 s AS (SELECT run, CAST(sum(CASE WHEN fin = 'settled' THEN cost WHEN taken THEN {LIMIT.reserve} ELSE 0 END) AS BIGINT) AS spent FROM f GROUP BY run)
 SELECT run, outcome, count(*) AS n, any_value(spent) AS spent FROM o JOIN s USING (run) WHERE outcome IS NOT NULL GROUP BY run, outcome""",
+    "decision_schemas": """WITH x AS (SELECT p_size, list_sort(list(DISTINCT p_brand)) AS c FROM part GROUP BY 1), y AS (SELECT p_size, len(c) AS n, length(array_to_string(list_transform(c, lambda b: '"' || b || '"'), ',')) AS l FROM x)
+SELECT p_size, CAST(n + 1 AS INTEGER) AS choices, 'outcome,condition_id,comparisons,explanation' AS keys, 2 * l + length('{"type":"json_schema","json_schema":{"name":"report_similarity","strict":true,"schema":{"type":"object","additionalProperties":false,"required":["outcome","condition_id","comparisons","explanation"],"properties":{"outcome":{"type":"string","enum":["similar","different"]},"condition_id":{"type":["string","null"],"enum":[,null]},"comparisons":{"type":"array","items":{"type":"object","additionalProperties":false,"required":["condition_id","similar","similarities","differences","evidence_ids"],"properties":{"condition_id":{"type":"string","enum":[]},"similar":{"type":"boolean"},"similarities":{"type":"array","items":{"type":"string"}},"differences":{"type":"array","items":{"type":"string"}},"evidence_ids":{"type":"array","items":{"type":"string"}}}}},"explanation":{"type":"string"}}}}}') AS length FROM y""",
+    "interleaved_arms": """WITH x AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'fixed' ELSE 'adaptive' END AS arm, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS position FROM events),
+y AS (SELECT user_id, arm, position, unnest(range(event_id % 3 + 1)) AS stage FROM x) SELECT user_id, arm, position, stage, row_number() OVER (PARTITION BY user_id ORDER BY position, stage, arm <> CASE WHEN position % 2 = 0 THEN 'fixed' ELSE 'adaptive' END) AS turn FROM y""",
+    "seeded_sample": "SELECT source, place, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('draw-17:' || doc_id)) AS place FROM documents) WHERE place <= 10",
     "resumed_requests": "WITH x AS (SELECT doc_id, lang, sha256(text) AS h FROM documents) SELECT lang, count(*) AS n, min(doc_id) AS first FROM x WHERE h NOT IN (SELECT h FROM x WHERE doc_id % 3 = 0 AND h IS NOT NULL) OR h IS NULL GROUP BY 1",
 }
 QUERIES = {n: globals()[n] for n in [*SQL, "specialist_scores", "margin_machine"]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.band_views import cyclic_map, harmonic_families, kurtosis_bands, modulations, peak_spacings, strong_peaks
-from cadenza.operators.base_path import Base, base_path, candidates, traced_samples
+from cadenza.operators.base_path import Base, acceptance_grid, base_path, candidates, chosen_thresholds, estimates, estimator_check, traced_samples
 from cadenza.operators.blocks import numbered, running_sum
 from cadenza.operators.filters import butterworth, system, zero_phase
 from cadenza.operators.orders import Orders, angular_samples, order_analysis
@@ -87,6 +87,28 @@ def base_frequencies(spark, d):
     return about.join(off, "rec", "left").select("rec", "frames", "reliable", "status", "off")
 
 
+def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Recordings cut to stretches of 500 samples, the noisier the later, and the mean base of each."""
+    x = _ringing(spark, d).withColumn("part", F.floor(F.col("n") / 500))
+    x = x.select(F.concat_ws("-", "rec", F.col("part").cast("string")).alias("rec"), (F.col("n") % 500).alias("n"), (F.col("value") + F.col("part") % 5 * F.sin(F.xxhash64("rec", "n") % 1000) * 0.3).alias("value"), "base")
+    return x.select("rec", "n", "value"), x.groupBy("rec").agg(F.avg("base").alias("base"))
+
+
+def threshold_grid(spark, d):
+    """What each pair of thresholds would accept, and how much of it is near the base that the recordings were made with; the pair chosen is marked."""
+    x, known = _parts(spark, d)
+    about, path, _ = base_path(x, RATE, BASE)
+    grid = acceptance_grid(estimates(about, path), known, [0.4, 0.5, 0.65, 0.8], [0.0, 0.04, 0.08])
+    return grid.join(chosen_thresholds(grid).select("score", "lead", F.lit(True).alias("chosen")), ["score", "lead"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
+def base_ratios(spark, d):
+    """Accepted recordings by the ratio of the base found to the known one."""
+    x, known = _parts(spark, d)
+    about, path, _ = base_path(x, RATE, BASE)
+    return estimator_check(about, estimates(about, path), known)
+
+
 def base_candidates(spark, d):
     """Bases of harmonic combs in each frame, best first, with the one on the best path marked."""
     x = _ringing(spark, d).select("rec", "n", "value")
@@ -172,4 +194,4 @@ h AS (SELECT rec, f, i, (v - avg(v) OVER (PARTITION BY rec, f)) * (0.5 - 0.5 * c
 q AS (SELECT rec, f, k, pow(sum(v * cos(2 * pi() * k * i / {_FRAME})), 2) + pow(sum(v * sin(2 * pi() * k * i / {_FRAME})), 2) AS p FROM h CROSS JOIN (SELECT unnest(range({int(ORDERS.highest * ORDERS.cycles) + 1})) AS k) GROUP BY ALL)
 SELECT rec, k, round(k / {ORDERS.cycles}.0, 4) AS "order", round(avg(p) * CASE WHEN k > 0 THEN 2 ELSE 1 END / ({ORDERS.per_cycle} * {_FRAME * 3 / 8}::DOUBLE), 4) AS density FROM q GROUP BY rec, k""",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "order_summary", "base_frequencies", "base_candidates", "modulation_map", "bank_of_kurtosis", "cyclic_coherences", "families_of_harmonics", "spacings_of_peaks"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "order_summary", "base_frequencies", "base_candidates", "threshold_grid", "base_ratios", "modulation_map", "bank_of_kurtosis", "cyclic_coherences", "families_of_harmonics", "spacings_of_peaks"]}

@@ -4,6 +4,7 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import decisions as D
 
@@ -93,3 +94,17 @@ def test_teacher_answers(spark):
 @pytest.mark.parametrize("validate,schema", [(D.whole_report, "id long, body string, references map<string, array<string>>, query array<string>"), (D.teacher_answer, "id long, body string")])
 def test_no_bodies(spark, validate, schema):
     assert validate(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_schema_asks_for_what_is_valid(spark):
+    """Bodies that the validator takes have the schema's keys and types; what the schema forbids, the validator refuses."""
+    wanted = json.loads(spark.createDataFrame([(["C0", "C1"],)], "c array<string>").select(D.report_schema(F.col("c"))).first()[0])
+    schema = wanted["json_schema"]["schema"]
+    assert wanted["type"] == "json_schema" and wanted["json_schema"]["strict"] is True
+    assert set(schema["required"]) == set(schema["properties"]) == set(report()) and schema["additionalProperties"] is False
+    item = schema["properties"]["comparisons"]["items"]
+    assert set(item["required"]) == set(item["properties"]) == set(report()["comparisons"][0]) and item["additionalProperties"] is False
+    assert schema["properties"]["condition_id"] == {"type": ["string", "null"], "enum": ["C0", "C1", None]} and item["properties"]["condition_id"] == {"type": "string", "enum": ["C0", "C1"]}
+    kinds = {"boolean": bool, "array": list, "string": str}
+    assert all(isinstance(report()["comparisons"][0][k], kinds[p["type"]]) for k, p in item["properties"].items())
+    assert schema["properties"]["outcome"]["enum"] == ["similar", "different"] and item["properties"]["evidence_ids"] == {"type": "array", "items": {"type": "string"}}
