@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.blocks import numbered, shared_folder
 from cadenza.sources.archives import member_labels, numeric_rows, zip_members
 from cadenza.sources.sealed import verify_sealed, write_sealed
+from cadenza.sources.wav import UPLOADS, Wav, audit, canonical, read_samples
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -60,6 +62,31 @@ def archived_channels(spark, d):
     return rows.groupBy("member").agg(F.count("*").alias("rows"), F.count("error").alias("errors"), F.round(F.sum("value"), 4).alias("value"), F.round(F.sum("quarter"), 4).alias("quarter")).select(*member_labels(F.col("member")), "rows", "errors", F.col("value").alias("sum"), "quarter")
 
 
+def recorded_samples(spark, d):
+    """Each user's events as a recording of two channels in WAV, read back: frames, and the sums of both channels and of a slice, in steps of 16 bits."""
+    x = numbered(spark.read.parquet(f"{d}/events.parquet"), F.col("user_id")).select("rec", "n", F.round(F.col("value") * 60).cast("int").alias("a"), (F.col("event_id") % 1000).cast("int").alias("b"))
+    folder = _place(spark, "recordings")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            for rec, v in frame.itertuples(index=False):
+                pcm = np.array([[s["a"], s["b"]] for s in v]).astype("<i2").tobytes()
+                part = f"{folder}/{uuid.uuid4().hex}.part"
+                with open(part, "xb") as out:
+                    out.write(canonical(Wav(2, 2, 8000, pcm)))
+                os.replace(part, f"{folder}/{rec}.wav")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    x.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b"))).alias("v")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    rec = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("rec")
+    total = F.round(F.sum(F.col("value") * 32768)).cast("long")
+    first, second = (read_samples(spark, f"file://{folder}", channel=c).groupBy(rec).agg(total.alias(f"sum_{c}")) for c in (0, 1))
+    middle = read_samples(spark, f"file://{folder}", 0, 10 / 8000, 20 / 8000).groupBy(rec).agg(total.alias("middle"), F.count("*").alias("in_middle"))
+    frames = audit(spark, f"file://{folder}", UPLOADS).select(rec, "frames", "reason")
+    return frames.join(first, "rec", "left").join(second, "rec", "left").join(middle, "rec", "left")
+
+
 def sealed_documents(spark, d):
     """Documents as lines of JSON in a sealed folder, a file for each language and source, read back: lines and characters of each file, and whether it is as the manifest says."""
     x = spark.read.parquet(f"{d}/documents.parquet")
@@ -74,6 +101,8 @@ def sealed_documents(spark, d):
 SQL = {
     "archived_channels": """WITH x AS (SELECT event_type AS rec, user_id % 20 AS part, value FROM events)
 SELECT rec AS family, CASE WHEN part % 2 = 0 THEN 'ball' END AS position, 's' || (part % 3) AS severity, part || '.5' AS value, count(*) AS rows, CAST(0 AS BIGINT) AS errors, round(sum(x.value), 4) AS sum, round(sum(x.value / 4), 4) AS quarter FROM x GROUP BY rec, part""",
+    "recorded_samples": """WITH x AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CAST(round(value * 60) AS INTEGER) AS a, event_id % 1000 AS b FROM events)
+SELECT rec, count(*) AS frames, CAST(NULL AS VARCHAR) AS reason, sum(a)::BIGINT AS sum_0, sum(b)::BIGINT AS sum_1, (sum(a) FILTER (n >= 10 AND n < 30))::BIGINT AS middle, nullif(count(*) FILTER (n >= 10 AND n < 30), 0) AS in_middle FROM x GROUP BY rec""",
     "sealed_documents": "SELECT lang, source, count(*) AS rows, sum(n_chars)::BIGINT AS chars, 'ok' AS status FROM documents GROUP BY 1, 2",
 }
 QUERIES = {n: globals()[n] for n in SQL}

@@ -33,9 +33,24 @@ class Wav:
         return len(self.pcm) // (self.channels * self.width)
 
 
-def parse_wav(data: bytes) -> Wav:
-    """The PCM of a RIFF/WAVE file with one `fmt ` chunk before one `data` chunk and exact lengths; ValueError says what is wrong."""
-    if len(data) > MOST_BYTES:
+@dataclass(frozen=True)
+class Limits:
+    """What a reader takes beside whole files: bytes, channels, samples a second, seconds, and whether the extensible format counts as PCM."""
+
+    most_bytes: int = MOST_BYTES
+    channels: int = MOST_CHANNELS
+    rates: tuple[int, int] = (1, 2**32 - 1)
+    seconds: float = float("inf")
+    extensible: bool = True
+
+
+#: Anything whole; and what uploads are held to: plain PCM of one or two channels, 8 to 192 kHz, two minutes at most.
+ANY, UPLOADS = Limits(), Limits(128_000_000, 2, (8_000, 192_000), 120.0, False)
+
+
+def parse_wav(data: bytes, limits: Limits = ANY) -> Wav:
+    """The PCM of a RIFF/WAVE file with one `fmt ` chunk before one `data` chunk and exact lengths, within limits; ValueError says what is wrong."""
+    if len(data) > limits.most_bytes:
         raise ValueError("too large")
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE header")
@@ -53,7 +68,7 @@ def parse_wav(data: bytes) -> Wav:
             if form is not None or pcm is not None or size < 16:
                 raise ValueError("one whole fmt chunk must come first")
             form = struct.unpack("<HHIIHH", body[:16])
-            if form[0] == EXTENSIBLE and size >= 40:
+            if form[0] == EXTENSIBLE and size >= 40 and limits.extensible:
                 form = (struct.unpack("<H", body[24:26])[0], *form[1:])
         elif name == b"data":
             if form is None or pcm is not None:
@@ -69,6 +84,8 @@ def parse_wav(data: bytes) -> Wav:
         raise ValueError("fmt contradicts itself")
     if not pcm or len(pcm) % align:
         raise ValueError("no whole frames")
+    if channels > limits.channels or not limits.rates[0] <= rate <= limits.rates[1] or len(pcm) > limits.seconds * rate * align:
+        raise ValueError("beyond the limits")
     return Wav(channels, bits // 8, rate, bytes(pcm))
 
 
@@ -96,9 +113,9 @@ def _files(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _tried(content: bytes) -> tuple[Wav | None, str | None]:
+def _tried(content: bytes, limits: Limits = ANY) -> tuple[Wav | None, str | None]:
     try:
-        return parse_wav(content), None
+        return parse_wav(content, limits), None
     except ValueError as e:
         return None, str(e)
 
@@ -106,7 +123,7 @@ def _tried(content: bytes) -> tuple[Wav | None, str | None]:
 _AUDIT = {"path": "string", "reason": "string", "channels": "int", "width": "int", "rate": "int", "frames": "long", "pcm_sha256": "string", "peak": "double", "constant": "boolean"}
 
 
-def audit(spark: SparkSession, path: str) -> DataFrame:
+def audit(spark: SparkSession, path: str, limits: Limits = ANY) -> DataFrame:
     """A row for each file under path: its format, content digest and peak, or the reason why it is refused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +131,7 @@ def audit(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                wav, reason = _tried(content.as_py())
+                wav, reason = _tried(content.as_py(), limits)
                 row = dict.fromkeys(_AUDIT) | {"path": name, "reason": reason}
                 if wav:
                     ends = [(s.min(), s.max()) for s in (samples_of(wav, c) for c in range(wav.channels))]
@@ -144,10 +161,11 @@ def read_samples(spark: SparkSession, path: str, channel: int = 0, start_seconds
 
 
 def scan_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Files under path against a manifest (file, sample_id, group_id, partition): a status for each of either.
+    """Files under path against a manifest (file, sample_id, group_id, partition), file being the path within the folder: a status for each of either.
 
     `ok`, `missing` file, `extra` file, `refused` by its checks, `repeated` id or content, or `leaking`: its group or content lies in two partitions."""
-    found = audit(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    root = path.split(":", 1)[-1].rstrip("/").lstrip("/")
+    found = audit(spark, path).withColumn("file", F.replace(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*|^/+", ""), F.lit(root + "/"), F.lit("")))
     both = manifest.join(found, "file", "full")
     for name, key, what in (("ids", "sample_id", F.lit(1)), ("copies", "pcm_sha256", F.lit(1)), ("group_parts", "group_id", F.col("partition")), ("copy_parts", "pcm_sha256", F.col("partition"))):
         counted = both.filter(F.col(key).isNotNull()).groupBy(key).agg((F.count("*") if name in ("ids", "copies") else F.countDistinct(what)).alias(name))

@@ -40,6 +40,30 @@ def test_metadata_goes_and_channels_and_slices_are_read():
         W.samples_of(wav, 2)
 
 
+def test_limits_of_uploads():
+    v = np.zeros(16_000)
+    assert W.parse_wav(made(v), W.UPLOADS).rate == 8000
+    for bad in (made(v, rate=7999), made(v, rate=192_001), made(v[:15_999], channels=3), made(np.zeros(8000 * 120 + 1))):
+        assert W.parse_wav(bad)
+        with pytest.raises(ValueError, match="limits"):
+            W.parse_wav(bad, W.UPLOADS)
+    plain = made(v)
+    wide = struct.pack("<4sIHHIIHHHHIH14s", b"fmt ", 40, W.EXTENSIBLE, 1, 8000, 16000, 2, 16, 22, 16, 4, 1, b"\0" * 14) + plain[36:]
+    wide = plain[:4] + struct.pack("<I", 4 + len(wide)) + b"WAVE" + wide
+    assert W.parse_wav(wide).frames == 16_000
+    with pytest.raises(ValueError, match="PCM"):
+        W.parse_wav(wide, W.UPLOADS)
+
+
+def test_one_name_in_two_folders(spark, tmp_path):
+    for k, name in enumerate(("a/x.wav", "b c+d/x.wav")):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_bytes(made(np.sin(np.arange(50) * (k + 1))))
+    manifest = spark.createDataFrame([("a/x.wav", "1", "g1", "train"), ("b c+d/x.wav", "2", "g2", "test")], "file string, sample_id string, group_id string, partition string")
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        assert {(r.file, r.sample_id, r.status) for r in W.scan_manifest(spark, path, manifest).collect()} == {("a/x.wav", "1", "ok"), ("b c+d/x.wav", "2", "ok")}
+
+
 @pytest.mark.parametrize("spoil", [lambda b: b[:-1], lambda b: b"RIFX" + b[4:], lambda b: b[:20] + b"\x03" + b[21:], lambda b: b[:32] + b"\x05" + b[33:], lambda b: b[:12] + b[36:], lambda b: b + b"junk"])
 def test_broken_files_are_refused(spoil):
     with pytest.raises(ValueError):
