@@ -123,6 +123,43 @@ def teacher_answer(x: DataFrame) -> DataFrame:
     return x.select("id", _first_broken(rules))
 
 
+def visual_decision(x: DataFrame) -> DataFrame:
+    """(id, verdict) of x (id, body, conditions): `json`; `keys` (outcome, condition_id, explanation); `outcome` (known, outside_reference or indeterminate); `condition` (one of the conditions if known, else null); `explanation`."""
+    v = F.col("v")
+    x = x.select("id", "conditions", F.try_parse_json("body").alias("v"))
+    outcome, chosen = text(part(v, "$.outcome")), part(v, "$.condition_id")
+    rules = [
+        ("json", v.isNotNull()), ("keys", has_keys(v, ("outcome", "condition_id", "explanation"))), ("outcome", outcome.isin("known", "outside_reference", "indeterminate")),
+        ("condition", F.when(outcome == "known", F.array_contains("conditions", text(chosen))).otherwise(kind(chosen) == "VOID")), ("explanation", is_text(part(v, "$.explanation"))),
+    ]
+    return x.select("id", _first_broken(rules))
+
+
+def diagram_audit(x: DataFrame, most: int = 5) -> DataFrame:
+    """(id, verdict) of x (id, body, figures), figures being a map of each available view to its figure: which views tell most, the first one first.
+
+    `json`; `keys` (views); `count` (one to `most`); `entry` (keys view, figure and finding, texts all); `unavailable` (a view without a figure); `repeated`; `figure` (not the view's own)."""
+    v = F.col("v")
+    x = x.select("id", "figures", F.try_parse_json("body").alias("v")).select("id", "figures", "v", items(part(v, "$.views")).alias("e"))
+    view = lambda e: text(part(e, "$.view"))
+    named = F.transform("e", view)
+    rules = [
+        ("json", v.isNotNull()), ("keys", has_keys(v, ("views",))), ("count", F.size("e").between(1, most)),
+        ("entry", F.forall("e", lambda e: has_keys(e, ("view", "figure", "finding")) & is_text(part(e, "$.view")) & is_text(part(e, "$.figure")) & is_text(part(e, "$.finding")))),
+        ("unavailable", F.forall(named, lambda n: F.map_contains_key("figures", n))), ("repeated", F.size(F.array_distinct(named)) == F.size(named)),
+        ("figure", F.forall("e", lambda e: text(part(e, "$.figure")) == F.element_at(F.col("figures"), view(e)))),
+    ]
+    return x.select("id", _first_broken(rules))
+
+
+def outcome_category(truth: Column, said: Column, undecided: Column) -> Column:
+    """What an answer is worth: truth and said are classes, null for one outside of those known."""
+    return (
+        F.when(undecided, "undecided").when(truth.isNotNull() & said.isNotNull(), F.when(truth == said, "correct").otherwise("wrong"))
+        .when(truth.isNotNull(), "rejected_known").when(said.isNotNull(), "accepted_unknown").otherwise("correct_rejection")
+    )
+
+
 def report_schema(conditions: Column, name: str = "report_similarity") -> Column:
     """The JSON schema that asks for a body as `whole_report` takes it, of an array of conditions: what may be chosen are these, or nothing."""
     text_ = F.struct(F.lit("string").alias("type"))

@@ -30,14 +30,19 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
 
 
-def whole_report_validation(spark, d):
-    """Decisions in JSON on each vector, from its distances to the first vectors of four classes, most of them spoilt in their text; by the rule that is broken first."""
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label, near): for each vector, an array of conditions with whether it is alike to the first vector of their class."""
     x = _vectors(spark, d)
     first = x.filter(F.col("label") < CONDITIONS).groupBy("label").agg(F.min_by("v", "id").alias("r"))
     refs = first.agg(F.map_from_entries(F.collect_list(F.struct("label", "r"))).alias("refs")).withColumn("one", F.lit(1))
     near = lambda i: F.aggregate(F.zip_with("v", F.element_at("refs", i), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
     labels = F.array_sort(F.map_keys("refs"))
-    y = x.withColumn("one", F.lit(1)).join(F.broadcast(refs), "one").select("id", F.transform(labels, lambda i: F.struct(F.concat(F.lit("C"), i.cast("string")).alias("c"), (near(i) <= ALIKE).alias("s"))).alias("near"))
+    return x.withColumn("one", F.lit(1)).join(F.broadcast(refs), "one").select("id", "label", F.transform(labels, lambda i: F.struct(F.concat(F.lit("C"), i.cast("string")).alias("c"), (near(i) <= ALIKE).alias("s"))).alias("near"))
+
+
+def whole_report_validation(spark, d):
+    """Decisions in JSON on each vector, from its distances to the first vectors of four classes, most of them spoilt in their text; by the rule that is broken first."""
+    y = _near(spark, d)
     comparison = F.transform("near", lambda n: F.to_json(F.struct(n["c"].alias("condition_id"), n["s"].alias("similar"), F.array(F.lit("level")).alias("similarities"), F.array().cast("array<string>").alias("differences"), F.array(F.concat(F.lit("R:"), n["c"]), F.lit("Q:report")).alias("evidence_ids"))))
     chosen = F.get(F.filter("near", lambda n: n["s"]), F.lit(0))["c"]
     body = F.concat(F.lit('{"outcome":"'), F.when(chosen.isNull(), "different").otherwise("similar"), F.lit('","condition_id":'), F.coalesce(F.concat(F.lit('"'), chosen, F.lit('"')), F.lit("null")), F.lit(',"comparisons":['), F.array_join(comparison, ","), F.lit('],"explanation":"alike"}'))
@@ -46,13 +51,38 @@ def whole_report_validation(spark, d):
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
+#: What spoils a visual decision and an audit of diagrams, by id modulo 7.
+VISUAL = {1: ('"outcome":"known"', '"outcome":"likely"'), 2: ('"condition_id":"', '"condition_id":"X'), 3: (',"explanation":"seen"', ""), 4: ('"seen"', '""'), 5: ('"condition_id":null', '"condition_id":"C1"'), 6: ("}", "")}
+AUDITS = {1: ('"figure":"F1"', '"figure":"F2"'), 2: ('"view":"ridge"', '"view":"welch"'), 3: ('"finding":"clear"', '"finding":"clear","note":1'), 4: ('"views":[', '"views":[1,2,3,'), 5: ('"views"', '"ranked"'), 6: ('"view":"welch"', '"view":"wavelet"')}
+
+
 def visual_decisions(spark, d):
-    """Decisions of three keys: outcome and condition must agree, and nothing else may be there."""
-    rule = F.col("id") % 5
-    body = F.concat(F.lit('{"outcome":'), _quoted(F.when(rule == 1, "outside_reference").when(rule == 2, "maybe").otherwise("known")), F.lit(',"condition_id":'), F.when(rule.isin(1, 3), "null").otherwise(_quoted(F.lit("C1"))), F.when(rule == 4, "").otherwise(',"explanation":"x"'), F.lit("}"))
-    x = _ids(spark, d).select("id", body.alias("body")).select("id", F.from_json("body", "outcome string, condition_id string, explanation string").alias("p"), F.json_object_keys("body").alias("keys"))
-    verdict = F.when(F.size("keys") != 3, "keys").when(~F.col("p.outcome").isin("known", "outside_reference", "indeterminate"), "outcome").when((F.col("p.outcome") == "known") != F.col("p.condition_id").isNotNull(), "condition").otherwise(F.col("p.outcome"))
-    return x.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    """Decisions of three keys in JSON on each vector: its class if that is one of four, else none; most of them spoilt in their text."""
+    x = _vectors(spark, d).select("id", "label")
+    known = F.col("label") < CONDITIONS
+    body = F.concat(F.lit('{"outcome":"'), F.when(known, "known").otherwise("outside_reference"), F.lit('","condition_id":'), F.when(known, F.concat(F.lit('"C'), F.col("label").cast("string"), F.lit('"'))).otherwise("null"), F.lit(',"explanation":"seen"}'))
+    conditions = F.array(*[F.lit(f"C{i}") for i in range(CONDITIONS)])
+    verdicts = V.visual_decision(x.select("id", _spoilt(F.col("id"), body, VISUAL, 7).alias("body"), conditions.alias("conditions")))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def diagram_audit(spark, d):
+    """Audits in JSON on each vector: as many of its views as its class says, the first one first; most of them spoilt in their text."""
+    x = _vectors(spark, d).select("id", "label")
+    names = F.array(*map(F.lit, ("welch", "ridge", "cepstrum", "orders", "wavelet", "levels")))
+    entries = F.transform(F.slice(names, 1, (F.col("label") % 6 + 1).cast("int")), lambda v, i: F.concat(F.lit('{"view":"'), v, F.lit('","figure":"F'), i.cast("string"), F.lit('","finding":"clear"}')))
+    figures = F.map_from_entries(F.transform(F.filter(names, lambda v: v != "wavelet"), lambda v: F.struct(v, F.concat(F.lit("F"), (F.array_position(names, v) - 1).cast("string")))))
+    body = F.concat(F.lit('{"views":['), F.array_join(entries, ","), F.lit("]}"))
+    verdicts = V.diagram_audit(x.select("id", _spoilt(F.col("id"), body, AUDITS, 7).alias("body"), figures.alias("figures")))
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def outcome_categories(spark, d):
+    """Each vector against the first vectors of the first four classes: alike to one of them is known, to none is outside, to several is undecided; what that is worth, by the vector's own class."""
+    near = _near(spark, d)
+    alike = F.filter("near", lambda n: n["s"])
+    truth = F.when(F.col("label") < CONDITIONS, F.concat(F.lit("C"), F.col("label").cast("string")))
+    return near.groupBy(V.outcome_category(truth, F.get(alike, F.lit(0))["c"], F.size(alike) > 1).alias("kind")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 #: What spoils a teacher's answer, by the document's id modulo 10.
@@ -115,26 +145,6 @@ def memory_decisions(spark, d):
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-def diagram_audit(spark, d):
-    """Ranked views of each report: at most five, distinct, none that is unavailable, each citing its own figure."""
-    rule = F.col("id") % 7
-    ranked = F.transform(F.sequence(F.lit(1), F.when(rule == 1, 6).otherwise(3)), lambda i: F.when((rule == 2) & (i == 3), 1).otherwise(i))
-    gone = F.when(rule == 3, F.array(F.lit(2))).otherwise(F.array(F.lit(9)))
-    figures = F.transform(ranked, lambda v: F.when((rule == 4) & (v == 2), F.lit("F1")).otherwise(F.concat(F.lit("F"), v.cast("string"))))
-    own = F.forall(F.zip_with(ranked, figures, lambda v, f: f == F.concat(F.lit("F"), v.cast("string"))), lambda same: same)
-    verdict = F.when(F.size(ranked) > 5, "too_many").when(F.size(F.array_distinct(ranked)) < F.size(ranked), "repeated").when(F.arrays_overlap(ranked, gone), "unavailable").when(~own, "figure").otherwise("valid")
-    return _ids(spark, d).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
-
-
-def outcome_categories(spark, d):
-    """Known and excluded truth against accepted, rejected and undecided answers: five categories."""
-    known = F.col("id") % 3 != 0
-    said = F.when(F.col("id") % 11 == 0, "indeterminate").when(F.col("id") % 4 == 1, "outside_reference").otherwise("known")
-    right = F.col("id") % 5 != 2
-    kind = F.when(said == "indeterminate", "undecided").when(known & (said == "known"), F.when(right, "correct").otherwise("wrong")).when(known, "rejected_known").when(said == "known", "accepted_unknown").otherwise("correct")
-    return _ids(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 #: Views that are taken out of packets, and keys whose texts stay in them.
 PRUNED, TEXTS = ["cepstrum", "orders"], ["status"]
 _VIEWS = ("welch", "cepstrum", "ridge", "orders")
@@ -277,7 +287,14 @@ SELECT CASE WHEN j IS NULL THEN 'json' WHEN list_sort(json_keys(j)) <> ['compari
   WHEN len(cs) <> {CONDITIONS} THEN 'comparisons' WHEN broken > 0 THEN 'comparison' WHEN len(list_distinct(names)) < len(names) THEN 'condition' WHEN fabricated > 0 THEN 'fabricated' WHEN one_sided > 0 THEN 'one_sided'
   WHEN j->>'$.outcome' = 'similar' AND list_contains(alike, j->>'$.condition_id') OR j->>'$.outcome' = 'different' AND json_type(j->'$.condition_id') = 'NULL' AND len(alike) = 0 THEN 'valid' ELSE 'conclusion' END AS verdict,
   count(*) AS n, min(id) AS first, max(id) AS last FROM r GROUP BY 1""",
-    "visual_decisions": "SELECT CASE vec_id % 5 WHEN 1 THEN 'outside_reference' WHEN 2 THEN 'outcome' WHEN 3 THEN 'condition' WHEN 4 THEN 'keys' ELSE 'known' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
+    "visual_decisions": f"""WITH b AS (SELECT vec_id AS id, '{{"outcome":"' || CASE WHEN label < {CONDITIONS} THEN 'known' ELSE 'outside_reference' END || '","condition_id":' || CASE WHEN label < {CONDITIONS} THEN '"C' || label || '"' ELSE 'null' END || ',"explanation":"seen"}}' AS body FROM embeddings),
+s AS (SELECT id, {_spoilt_sql("id", VISUAL, 7)} AS body FROM b), p AS (SELECT id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM s)
+SELECT CASE WHEN j IS NULL THEN 'json' WHEN list_sort(json_keys(j)) <> ['condition_id', 'explanation', 'outcome'] THEN 'keys' WHEN j->>'$.outcome' NOT IN ('known', 'outside_reference', 'indeterminate') THEN 'outcome'
+  WHEN j->>'$.outcome' = 'known' AND j->>'$.condition_id' NOT IN ('C0', 'C1', 'C2', 'C3') OR j->>'$.outcome' <> 'known' AND json_type(j->'$.condition_id') <> 'NULL' THEN 'condition' WHEN trim(j->>'$.explanation') = '' THEN 'explanation' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM p GROUP BY 1""",
+    "diagram_audit": f"""WITH n AS (SELECT ['welch', 'ridge', 'cepstrum', 'orders', 'wavelet', 'levels'] AS n), b AS (SELECT vec_id AS id, '{{"views":[' || array_to_string(list_transform(range(label % 6 + 1), lambda i: '{{"view":"' || n[i + 1] || '","figure":"F' || i || '","finding":"clear"}}'), ',') || ']}}' AS body FROM embeddings CROSS JOIN n),
+s AS (SELECT id, CAST({_spoilt_sql("id", AUDITS, 7)} AS JSON) AS j FROM b), q AS (SELECT id, j, j->'$.views[*]' AS e, j->>'$.views[*].view' AS v, j->>'$.views[*].figure' AS f FROM s)
+SELECT CASE WHEN json_keys(j) <> ['views'] THEN 'keys' WHEN len(e) NOT BETWEEN 1 AND 5 THEN 'count' WHEN len(list_filter(e, lambda x: NOT coalesce(list_sort(json_keys(x)) = ['figure', 'finding', 'view'], false))) > 0 THEN 'entry' WHEN list_contains(v, 'wavelet') THEN 'unavailable'
+  WHEN len(list_distinct(v)) < len(v) THEN 'repeated' WHEN len(list_filter(list_zip(v, f), lambda z: z[2] <> 'F' || (list_position(['welch', 'ridge', 'cepstrum', 'orders', 'wavelet', 'levels'], z[1]) - 1))) > 0 THEN 'figure' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM q GROUP BY 1""",
     "teacher_answers": f"""WITH x AS (SELECT doc_id AS id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 l AS (SELECT id, lang, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)::DOUBLE * 0.9::DOUBLE, 3) AS share, list_filter(list_transform(string_split(text, chr(10)), lambda t: regexp_replace(t, '[^A-Za-z0-9 ]', '', 'g')), lambda t: trim(t) <> '') AS ls FROM x),
 b AS (SELECT id, '{{"label":"' || lang || '","score":' || printf('%.3f', share) || ',"observations":[' || coalesce(array_to_string(list_transform(ls, lambda t: '"' || t || '"'), ','), '') || ']}}' AS body FROM l),
@@ -293,8 +310,10 @@ q AS (SELECT *, j->>'$.candidates[*]' AS c, j->>'$.evidence[*]' AS e, j->>'$.con
 SELECT CASE WHEN len(c) > 2 OR len(list_distinct(c)) < len(c) THEN 'candidates' WHEN d = 'accept' AND NOT coalesce(list_contains(c, t), false) OR d = 'review' AND t IS NOT NULL THEN 'condition'
   WHEN len(list_filter(e, lambda z: z NOT IN ('Q:report', a || '.CARD', b || '.CARD'))) > 0 OR NOT list_contains(e, 'Q:report') OR len(list_filter(e, lambda z: ends_with(z, '.CARD'))) = 0 OR d = 'accept' AND NOT list_contains(e, t || '.CARD') THEN 'citations'
   WHEN j->>'$.explanation' IS NULL THEN 'explanation' ELSE 'valid' END AS verdict, count(*) AS n, min(id) AS first, max(id) AS last FROM q GROUP BY 1""",
-    "diagram_audit": "SELECT CASE vec_id % 7 WHEN 1 THEN 'too_many' WHEN 2 THEN 'repeated' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'figure' ELSE 'valid' END AS verdict, count(*) AS n FROM embeddings GROUP BY 1",
-    "outcome_categories": "WITH x AS (SELECT vec_id % 3 <> 0 AS known, CASE WHEN vec_id % 11 = 0 THEN 'i' WHEN vec_id % 4 = 1 THEN 'o' ELSE 'k' END AS said, vec_id % 5 <> 2 AS fits FROM embeddings) SELECT CASE WHEN said = 'i' THEN 'undecided' WHEN known AND said = 'k' AND fits THEN 'correct' WHEN known AND said = 'k' THEN 'wrong' WHEN known THEN 'rejected_known' WHEN said = 'k' THEN 'accepted_unknown' ELSE 'correct' END AS kind, count(*) AS n FROM x GROUP BY 1",
+    "outcome_categories": f"""WITH v AS (SELECT vec_id AS id, label, embedding AS v FROM embeddings), f AS (SELECT label AS k, arg_min(v, id) AS r FROM v WHERE label < {CONDITIONS} GROUP BY 1),
+n AS (SELECT id, label, k, list_sum(list_transform(list_zip(v, r), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) <= {ALIKE}::DOUBLE AS s FROM v CROSS JOIN f),
+a AS (SELECT id, any_value(label) AS label, count(*) FILTER (s) AS n, min(k) FILTER (s) AS k FROM n GROUP BY id)
+SELECT CASE WHEN n > 1 THEN 'undecided' WHEN label < {CONDITIONS} AND n = 1 THEN CASE WHEN label = k THEN 'correct' ELSE 'wrong' END WHEN label < {CONDITIONS} THEN 'rejected_known' WHEN n = 1 THEN 'accepted_unknown' ELSE 'correct_rejection' END AS kind, count(*) AS n, min(id) AS first FROM a GROUP BY 1""",
     "view_pruning": f"""WITH x AS (SELECT conv_id AS id, turn, length(text) AS n FROM conversations), v AS (SELECT id, turn, n, k.k, k.k IN (1, 3) AS gone, (turn + k.k) % 3 <> 0 AS there FROM x CROSS JOIN (SELECT unnest(range(4)) AS k) k)
 SELECT id, sum(CASE WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS before, sum(CASE WHEN gone THEN 0 WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS kept,
        sum(CASE WHEN there AND NOT gone THEN n * (k + 1) + turn + n ELSE 0 END) + sum(CASE WHEN k = 0 THEN n ELSE 0 END) AS total, CAST(0 AS BIGINT) AS left_over FROM v GROUP BY id""",

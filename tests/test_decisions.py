@@ -91,6 +91,37 @@ def test_teacher_answers(spark):
     check(D.teacher_answer(spark.createDataFrame(bodies(ANSWERS), "id long, body string")), ANSWERS)
 
 
+def visual(**change):
+    return {"outcome": "known", "condition_id": "A", "explanation": "so"} | change
+
+
+VISUAL = [
+    (visual(), "valid"), (visual(outcome="indeterminate", condition_id=None), "valid"), (visual(outcome="outside_reference", condition_id=None), "valid"), ("x", "json"), (visual(note=1), "keys"), ({"outcome": "known", "condition_id": "A"}, "keys"), (visual(outcome="maybe"), "outcome"), (visual(outcome=None), "outcome"),
+    (visual(condition_id=None), "condition"), (visual(condition_id="Z"), "condition"), (visual(outcome="indeterminate"), "condition"), (visual(condition_id=["A"]), "condition"), (visual(explanation=" "), "explanation"),
+]
+
+
+def view(name, **change):
+    return {"view": name, "figure": f"F.{name}", "finding": "clear"} | change
+
+
+AUDITS = [
+    ({"views": [view("a")]}, "valid"), ({"views": [view(n) for n in "abcde"]}, "valid"), ("{}", "keys"), ("[]", "keys"), ("{", "json"), ({"views": []}, "count"), ({"views": None}, "count"), ({"views": [view(n) for n in "abcdef"]}, "count"), ({"views": [view("a", more=1)]}, "entry"), ({"views": [view("a", finding="")]}, "entry"),
+    ({"views": ["a"]}, "entry"), ({"views": [view("z")]}, "unavailable"), ({"views": [view("a"), view("b"), view("a")]}, "repeated"), ({"views": [view("a"), view("b", figure="F.a")]}, "figure"),
+]
+
+
+def test_visual_decisions_and_audits(spark):
+    check(D.visual_decision(spark.createDataFrame([(*b, ["A", "B"]) for b in bodies(VISUAL)], "id long, body string, conditions array<string>")), VISUAL)
+    check(D.diagram_audit(spark.createDataFrame([(*b, {n: f"F.{n}" for n in "abcdef"}) for b in bodies(AUDITS)], "id long, body string, figures map<string, string>")), AUDITS)
+
+
+def test_categories(spark):
+    rows = [("a", "a", False, "correct"), ("a", "b", False, "wrong"), ("a", None, False, "rejected_known"), (None, "a", False, "accepted_unknown"), (None, None, False, "correct_rejection"), ("a", "a", True, "undecided"), (None, None, True, "undecided")]
+    got = spark.createDataFrame(rows, "t string, s string, u boolean, w string").select(D.outcome_category(F.col("t"), F.col("s"), F.col("u")), "w").collect()
+    assert all(a == b for a, b in got)
+
+
 @pytest.mark.parametrize("validate,schema", [(D.whole_report, "id long, body string, references map<string, array<string>>, query array<string>"), (D.teacher_answer, "id long, body string")])
 def test_no_bodies(spark, validate, schema):
     assert validate(spark.createDataFrame([], schema)).collect() == []
