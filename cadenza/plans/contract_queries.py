@@ -181,13 +181,14 @@ def evidence_packets(spark, d):
 
 
 def silver_labels(spark, d):
-    """Answers of a teacher on documents, spoilt by rule, by what became of them."""
-    i = F.col("doc_id")
-    x = spark.read.parquet(f"{d}/documents.parquet").select(
-        i.alias("id"), F.when(i % 4 == 3, "test").otherwise("train").alias("partition"), F.when(i % 7 == 1, F.lit(None)).when(i % 7 == 2, "xx").otherwise(F.col("lang")).alias("label"),
-        F.when(i % 5 == 1, 1.5).otherwise(0.75).alias("score"), F.when(i % 11 == 0, "timeout").alias("error"),
-    )
-    return L.silver_status(x, ["en", "de", "fr", "es"]).groupBy("status").agg(F.count("*").alias("n"))
+    """Answers of a teacher that reads letters: the language by the marks it uses, with the share of plain letters as score; too long texts fail, too short ones it leaves. By what became of them, and how many are right."""
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    label = F.when(n < 60, F.lit(None)).when(F.col("text").rlike("[äöüß]"), "de").when(F.col("text").rlike("[ñáó]"), "es").when(F.col("text").rlike("[éèêç]"), "fr").when(F.col("text").rlike("[0-9]{3}"), "numbers").otherwise("en")
+    score = F.round(F.length(F.regexp_replace("text", "[^A-Za-z ]", "")) / F.greatest(n, F.lit(1)), 6)
+    answers = x.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 3, "test").otherwise("train").alias("partition"), label.alias("label"), score.alias("score"), F.when(n > 12_000, "too long").alias("error"), "lang")
+    told = L.silver_status(answers, ["en", "de", "fr", "es"])
+    return told.groupBy("status").agg(F.count("*").alias("n"), F.count_if((F.col("status") == "labelled") & (F.col("label") == F.col("lang"))).alias("right"), F.round(F.avg("score"), 4).alias("score"))
 
 
 def specialist_scores(spark, d):
@@ -318,7 +319,10 @@ SELECT CASE WHEN n > 1 THEN 'undecided' WHEN label < {CONDITIONS} AND n = 1 THEN
 SELECT id, sum(CASE WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS before, sum(CASE WHEN gone THEN 0 WHEN there THEN 5 ELSE 1 END)::BIGINT + 3 * count(DISTINCT turn) AS kept,
        sum(CASE WHEN there AND NOT gone THEN n * (k + 1) + turn + n ELSE 0 END) + sum(CASE WHEN k = 0 THEN n ELSE 0 END) AS total, CAST(0 AS BIGINT) AS left_over FROM v GROUP BY id""",
     "evidence_packets": "WITH x AS (SELECT conv_id AS id, turn, (turn % 3 <> 0)::INT + ((turn + 1) % 3 <> 0)::INT + ((turn + 2) % 3 <> 0)::INT + (turn % 3 <> 0)::INT AS views FROM conversations) SELECT id, count(*) AS texts, (count(*) + 3 * sum(views))::BIGINT AS others, count(*)::INTEGER AS turns FROM x GROUP BY id",
-    "silver_labels": "SELECT CASE WHEN doc_id % 4 = 3 THEN 'not_attempted' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 1 OR (doc_id % 7 <> 2 AND lang IS NULL) THEN 'abstained' WHEN doc_id % 7 = 2 OR lang NOT IN ('en', 'de', 'fr', 'es') OR doc_id % 5 = 1 THEN 'failed' ELSE 'labelled' END AS status, count(*) AS n FROM documents GROUP BY 1",
+    "silver_labels": """WITH x AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, lang, t, CASE WHEN length(t) < 60 THEN NULL WHEN regexp_matches(t, '[äöüß]') THEN 'de' WHEN regexp_matches(t, '[ñáó]') THEN 'es' WHEN regexp_matches(t, '[éèêç]') THEN 'fr' WHEN regexp_matches(t, '[0-9]{3}') THEN 'numbers' ELSE 'en' END AS label, round(length(regexp_replace(t, '[^A-Za-z ]', '', 'g')) / greatest(length(t), 1)::DOUBLE, 6) AS score FROM x),
+s AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN 'not_attempted' WHEN length(t) > 12000 THEN 'failed' WHEN label IS NULL THEN 'abstained' WHEN label = 'numbers' THEN 'failed' ELSE 'labelled' END AS status FROM a)
+SELECT status, count(*) AS n, count(*) FILTER (status = 'labelled' AND label = lang) AS "right", round(avg(score), 4) AS score FROM s GROUP BY 1""",
     "review_machine": f"""WITH x AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'adaptive-' ELSE 'fixed-' END || user_id AS arm, event_id AS id, epoch_us(ts) AS t0 FROM events),
 a AS (SELECT *, id % 13 <> 0 AS own, id % 13 <> 0 AND id % 3 = 2 AS asks, count(*) FILTER (id % 13 <> 0 AND id % 3 = 2) OVER (PARTITION BY arm ORDER BY t0, id) AS nth FROM x),
 o AS (SELECT arm, id, unnest([CASE WHEN NOT own THEN 'refused' WHEN id % 3 = 0 THEN 'accepted' ELSE 'retrieve' END, CASE WHEN id % 10 = 7 THEN 'refused' END, CASE WHEN id % 3 = 0 THEN NULL WHEN NOT own THEN 'refused' WHEN id % 3 = 1 THEN 'accepted' WHEN nth <= {REVIEWS} THEN 'ask' ELSE 'budget_exhausted' END,

@@ -138,9 +138,11 @@ def error_direction(spark, d):
 
 
 def ledger_reconciliation(spark, d):
-    """Attempts of each root, and whether they equal successes, failures and those still open."""
-    x = _t(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("root")).agg(F.count("*").alias("attempted"), *[F.count_if(F.col("o_orderstatus") == s).alias(a) for s, a in (("F", "succeeded"), ("O", "open"), ("P", "failed"))])
-    return x.withColumn("reconciled", F.col("attempted") == F.col("succeeded") + F.col("open") + F.col("failed"))
+    """Attempts of each root by its orders, and by the items that were billed for them: orders without items, items without an order, and whether what was billed is within a tenth of what was agreed."""
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("root"), F.col("o_totalprice").alias("agreed"))
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("billed"))
+    both = orders.join(lines, "k", "full").groupBy("root").agg(F.count("agreed").alias("attempted"), F.count("billed").alias("received"), F.count_if(F.col("billed").isNull()).alias("open"), F.count_if(F.col("agreed").isNull()).alias("orphans"), F.sum("agreed").alias("agreed"), F.sum("billed").alias("billed"))
+    return both.select("root", "attempted", "received", "open", "orphans", F.round(F.col("billed") / F.col("agreed"), 4).alias("share"), F.coalesce(F.abs(F.col("billed") / F.col("agreed") - 1) <= 0.1, F.lit(False)).alias("reconciled"))
 
 
 def inverse_distribution(spark, d):
@@ -321,12 +323,14 @@ def balanced_partition(spark, d):
 
 
 def whole_item_contamination(spark, d):
-    """Items of the benchmark whose whole text is a document's, or lies within one, by digest of the squeezed text; items without any are listed with 0."""
+    """How many documents have all lines of an item of the benchmark among their own, by digest of the squeezed lines; lines of up to 20 characters don't count, items without any are listed with 0."""
     squeezed = lambda c: F.sha2(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), 256)
-    items = _t(spark, d, "benchmark").select("item_id", squeezed(F.col("text")).alias("h"))
+    items = _t(spark, d, "benchmark").select("item_id")
     parts = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", squeezed(F.col("line")).alias("h"))
     lines = _t(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 20").select("item_id", squeezed(F.col("line")).alias("h")).distinct()
-    hit = lines.join(parts.distinct(), "h").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+    whole = lines.groupBy("item_id").agg(F.count("*").alias("lines"))
+    met = lines.join(parts.distinct(), "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("lines"))
+    hit = met.join(whole, ["item_id", "lines"]).groupBy("item_id").agg(F.count("*").alias("n"))
     return items.join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -349,7 +353,9 @@ SQL = {
     "most_common": "SELECT * FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_nationkey) AS INTEGER) AS rank FROM customer GROUP BY 1, 2) WHERE rank <= 3",
     "price_histogram": "WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders) SELECT CAST(least(floor((o_totalprice - low) / nullif(high - low, 0) * 64), 63) AS BIGINT) AS cell, count(*) AS n FROM orders, e GROUP BY 1",
     "error_direction": "WITH x AS (SELECT toxic, CASE WHEN n_chars < 300 THEN NULL WHEN n_chars < 1200 THEN 0 ELSE 1 END AS said FROM labels JOIN documents USING (doc_id)) SELECT CASE WHEN said IS NULL THEN 'review' WHEN said = toxic THEN 'correct' WHEN toxic = 1 THEN 'unsafe' ELSE 'false_alarm' END AS direction, count(*) AS n FROM x GROUP BY 1",
-    "ledger_reconciliation": "WITH x AS (SELECT o_custkey % 50 AS root, count(*) AS attempted, count(*) FILTER (WHERE o_orderstatus = 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed FROM orders GROUP BY 1) SELECT *, attempted = succeeded + open + failed AS reconciled FROM x",
+    "ledger_reconciliation": """WITH l AS (SELECT l_orderkey AS k, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS billed FROM lineitem GROUP BY 1), b AS (SELECT o_custkey % 50 AS root, o_totalprice AS agreed, billed FROM orders FULL JOIN l ON o_orderkey = k),
+        g AS (SELECT root, count(agreed) AS attempted, count(billed) AS received, count(*) FILTER (billed IS NULL) AS open, count(*) FILTER (agreed IS NULL) AS orphans, sum(billed) / sum(agreed) AS share FROM b GROUP BY 1)
+        SELECT root, attempted, received, open, orphans, round(share, 4) AS share, coalesce(abs(share - 1) <= 0.1, false) AS reconciled FROM g""",
     "inverse_distribution": "WITH q AS (SELECT event_type, quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM events GROUP BY 1) SELECT event_type, CAST(unnest(range(11)) AS INTEGER) AS tenth, round(unnest(q), 4) AS v FROM q",
     "restored_clock": "WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) SELECT user_id, n // 25 AS segment, round(min(n / 8.0::DOUBLE), 6) AS begin, round(max(n / 8.0::DOUBLE), 6) AS end FROM x GROUP BY 1, 2",
     "arrival_sequence": "SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY sha256('arrival:' || vec_id), vec_id) AS INTEGER) AS arrival FROM embeddings",
@@ -376,6 +382,6 @@ SQL = {
     "render_leaks": "WITH x AS (SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, source, CAST(doc_id AS VARCHAR) AS rec, sha256(text) AS h FROM documents), e AS (SELECT split, 'group' AS kind, source AS key FROM x UNION ALL SELECT split, 'recording', rec FROM x UNION ALL SELECT split, 'content', h FROM x), k AS (SELECT kind, key, count(DISTINCT split) AS splits, count(*) AS rows FROM e GROUP BY 1, 2) SELECT kind, count(*) AS keys, count(*) FILTER (WHERE splits > 1) AS leaking, CAST(sum(rows) AS BIGINT) AS rows FROM k GROUP BY 1",
     "balanced_partition": """WITH x AS (SELECT c_custkey, c_nationkey % 8 AS class, c_custkey % 8 AS profile, CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END AS load FROM customer), m AS (SELECT class, profile, load, arg_min(c_custkey, sha256('member-' || c_custkey)) AS member FROM x GROUP BY 1, 2, 3),
         r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY sha256('role-' || class || '-' || profile || '-' || load)) AS r FROM m) SELECT class, CASE WHEN r <= 2 THEN 'seed' WHEN r <= 10 THEN 'stream' ELSE 'evaluation' END AS role, count(*) AS n, count(DISTINCT profile * 2 + load) AS cells, sum(member)::BIGINT AS members FROM r GROUP BY 1, 2""",
-    "whole_item_contamination": f"WITH p AS (SELECT DISTINCT doc_id, {_SQUEEZED.format('line')} AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)), l AS (SELECT DISTINCT item_id, {_SQUEEZED.format('line')} AS h FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 20), n AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM l JOIN p USING (h) GROUP BY 1) SELECT item_id, coalesce(n, 0) AS n FROM benchmark LEFT JOIN n USING (item_id)",
+    "whole_item_contamination": f"WITH p AS (SELECT DISTINCT doc_id, {_SQUEEZED.format('line')} AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)), l AS (SELECT DISTINCT item_id, {_SQUEEZED.format('line')} AS h FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 20), w AS (SELECT item_id, count(*) AS lines FROM l GROUP BY 1), m AS (SELECT item_id, doc_id, count(*) AS lines FROM l JOIN p USING (h) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM m JOIN w USING (item_id, lines) GROUP BY 1) SELECT item_id, coalesce(n, 0) AS n FROM benchmark LEFT JOIN n USING (item_id)",
 }
 QUERIES = {n: globals()[n] for n in SQL}
