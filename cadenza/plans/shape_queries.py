@@ -40,6 +40,13 @@ def nearest_reference_scores(spark, d):
     return c.select("label", "support", "predicted", "correct", F.round(F.try_divide("correct", "support"), R6).alias("recall"), F.round(f1, R6).alias("f1"))
 
 
+def overall_scores(spark, d):
+    """Accuracy over all queries, share that was answered, accuracy of these, and the mean F1 of all classes."""
+    c = nearest_reference_scores(spark, d)
+    said = c.agg(F.sum("support").alias("n"), F.sum("predicted").alias("answered"), F.sum("correct").alias("correct"), F.round(F.avg("f1"), 5).alias("macro_f1"))
+    return said.select("n", "answered", "correct", F.round(F.col("correct") / F.col("n"), R6).alias("accuracy"), F.round(F.try_divide("answered", "n"), R6).alias("coverage"), F.round(F.try_divide("correct", "answered"), R6).alias("precision"), "macro_f1")
+
+
 def class_ranking_regimes(spark, d):
     x = _distances(spark, d, 4).select("query", F.col("ref_class").alias("class"), (F.col("ref") % 2).alias("regime"), (F.col("ref") % 5).alias("group"), "d")
     return C.class_ranking(x).select("query", "class", F.round("d", R6).alias("d"))
@@ -256,6 +263,8 @@ SQL = {
     "nearest_reference_scores": _sql("""SELECT label, CAST(sum(s) AS BIGINT) AS support, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS correct,
         round(CASE WHEN sum(s) > 0 THEN sum(t) / sum(s) END, 6) AS recall, round(2.0 * sum(t) / (sum(s) + sum(p)), 6) AS f1
         FROM (SELECT truth AS label, 1 AS s, 0 AS p, CASE WHEN outcome = 'known' AND nearest = truth THEN 1 ELSE 0 END AS t FROM o UNION ALL SELECT nearest, 0, 1, 0 FROM o WHERE outcome = 'known') GROUP BY label"""),
+    "overall_scores": _sql("""SELECT CAST(sum(s) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS answered, CAST(sum(t) AS BIGINT) AS correct, round(sum(t) / sum(s), 6) AS accuracy, round(sum(p) / sum(s), 6) AS coverage, round(sum(t) / nullif(sum(p), 0), 6) AS precision, round(avg(f1), 5) AS macro_f1
+        FROM (SELECT label, sum(s) AS s, sum(p) AS p, sum(t) AS t, round(2.0 * sum(t) / (sum(s) + sum(p)), 6) AS f1 FROM (SELECT truth AS label, 1 AS s, 0 AS p, CASE WHEN outcome = 'known' AND nearest = truth THEN 1 ELSE 0 END AS t FROM o UNION ALL SELECT nearest, 0, 1, 0 FROM o WHERE outcome = 'known') GROUP BY label)"""),
     "class_ranking_regimes": _sql("""SELECT query, class, round(min(d), 6) AS d FROM (SELECT query, class, regime, median(d) AS d FROM (SELECT query, ref_class AS class, ref % 2 AS regime, ref % 5 AS g, median(d) AS d FROM d GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""", 4),
     "bank_variability": _sql("SELECT class, a % 2 = b % 2 AS within, count(*) AS pairs, round(min(d), 6) AS low, round(median(d), 6) AS mid, round(max(d), 6) AS high FROM pr WHERE class = other GROUP BY ALL", 6),
     "reference_separation": _sql("SELECT ref, round(min(d), 6) AS nearest FROM (SELECT a AS ref, d FROM pr UNION ALL SELECT b, d FROM pr) GROUP BY ref"),
