@@ -207,7 +207,7 @@ def margin_machine(spark, d):
     return said.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("label")).alias("correct"))
 
 
-#: Reviews that an arm may ask a person for; requests of a run at most, cents each reserves, milliseconds until one counts as lost.
+#: Fixed values. Reviews that an arm may ask a person for; requests of a run at most, cents each reserves, milliseconds until one counts as lost.
 REVIEWS, LIMIT = 16, T.Budget(most=40, reserve=411, lost=7_200_000)
 
 

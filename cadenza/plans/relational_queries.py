@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import greatest_divisor, significant
 
-#: Prices of a million tokens: fresh input, cached input, output; the most input tokens that are priced.
+#: Fixed values. Prices of a million tokens: fresh input, cached input, output; the most input tokens that are priced.
 PRICES, MOST_TOKENS = (5.0, 0.5, 25.0), 64_000
 
 
