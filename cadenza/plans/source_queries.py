@@ -63,7 +63,7 @@ def archived_channels(spark, d):
 
 
 def recorded_samples(spark, d):
-    """Each user's events as a recording of two channels in WAV, read back: frames, and the sums of both channels and of a slice, in steps of 16 bits."""
+    """Each user's events as a recording of two channels in WAV, read back: frames, and the sums of both channels and of a slice, in steps of 1/60. Samples have 32 bits, as values beyond 546 need more than 16."""
     x = numbered(spark.read.parquet(f"{d}/events.parquet"), F.col("user_id")).select("rec", "n", F.round(F.col("value") * 60).cast("int").alias("a"), (F.col("event_id") % 1000).cast("int").alias("b"))
     folder = _place(spark, "recordings")
 
@@ -71,16 +71,16 @@ def recorded_samples(spark, d):
         os.makedirs(folder, exist_ok=True)
         for frame in frames:
             for rec, v in frame.itertuples(index=False):
-                pcm = np.array([[s["a"], s["b"]] for s in v]).astype("<i2").tobytes()
+                pcm = np.array([[s["a"], s["b"]] for s in v], "<i4").tobytes()
                 part = f"{folder}/{uuid.uuid4().hex}.part"
                 with open(part, "xb") as out:
-                    out.write(canonical(Wav(2, 2, 8000, pcm)))
+                    out.write(canonical(Wav(2, 4, 8000, pcm)))
                 os.replace(part, f"{folder}/{rec}.wav")
             yield pd.DataFrame({"n": [len(frame)]})
 
     x.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b"))).alias("v")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
     rec = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("rec")
-    total = F.round(F.sum(F.col("value") * 32768)).cast("long")
+    total = F.round(F.sum(F.col("value") * 2.0**31)).cast("long")
     first, second = (read_samples(spark, f"file://{folder}", channel=c).groupBy(rec).agg(total.alias(f"sum_{c}")) for c in (0, 1))
     middle = read_samples(spark, f"file://{folder}", 0, 10 / 8000, 20 / 8000).groupBy(rec).agg(total.alias("middle"), F.count("*").alias("in_middle"))
     frames = audit(spark, f"file://{folder}", UPLOADS).select(rec, "frames", "reason")
