@@ -14,6 +14,8 @@ from cadenza.operators import signal as S
 
 #: Samples of a segment, a frame and a hop; points of a rotation.
 SEGMENT, SIZE, HOP, POINTS = 24, 16, 4, 4
+#: Share of a sum of steps that rounding may take from it.
+ROUNDING = 1e-9
 
 
 def _x(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +62,13 @@ def controlled_shapes(spark, d):
 
 
 def angular_average(spark, d):
-    """Values at equal steps of rotation, by the place in the rotation: |value| is the speed, whole inner rotations count, four at least."""
+    """Values at equal steps of rotation, by the place in the rotation: |value| is the speed, whole inner rotations count, four at least.
+
+    A recording that ends with a whole rotation has it, even if the sum of its steps falls short of it by rounding."""
     w = Window.partitionBy("rec").orderBy("n")
     x = _x(spark, d).withColumn("step", (F.abs("value") + F.lag(F.abs("value")).over(w)) / 120)
     x = x.select("rec", F.coalesce(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("t"), "value")
-    turns = x.groupBy("rec").agg(F.floor(F.max("t")).alias("turns")).filter("turns >= 4")
+    turns = x.groupBy("rec").agg(F.floor(F.max("t") * (1 + ROUNDING)).alias("turns")).filter("turns >= 4")
     grid = turns.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") * POINTS - 1)).alias("j")).select("rec", "j", (F.col("j") / float(POINTS)).alias("t"))
     at = S.interpolate(x, grid.select("rec", "t")).join(grid, ["rec", "t"])
     return at.groupBy("rec", (F.col("j") % POINTS).alias("phase")).agg(F.count("*").alias("turns"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("sd"))
