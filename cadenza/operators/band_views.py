@@ -21,6 +21,11 @@ LEFT, ORDER, POINTS, FAINT, FAINT_SQUARE = 32, 4, 251, 1e-10, 1e-20
 MOST_PEAKS, MEMBERS, WIDEST, CLASS = 24, 3, 1000.0, 2.0
 
 
+def _values(x: DataFrame, size: int) -> DataFrame:
+    """(rec, segment, v): segments with their values alone, which Python gets as one array; as structs each sample would be an object."""
+    return segments(x, size).withColumn("v", F.col("v")["value"])
+
+
 def both_ways(s: System, v: np.ndarray) -> np.ndarray | None:
     """A segment filtered forward and backward, each end continued by its point reflection; None if it is too short for that."""
     if len(v) <= s.reach:
@@ -56,13 +61,13 @@ def modulations(x: DataFrame, size: int, rate: float, bands: list[tuple[float, f
     kind = dict(x.dtypes)["rec"]
 
     def run(r: tuple) -> Iterator[tuple]:
-        v = np.array([s["value"] for s in r.v], dtype=float)
+        v = np.asarray(r.v, dtype=float)
         for i, band in enumerate(bands, 1):
             status, f = modulation(v, rate, band, edge, highest) if np.isfinite(v).all() else ("invalid", {})
             grid = [None if np.isnan(g) else float(g) for g in f["grid"]] if f else None
             yield r.rec, r.segment, i, status, f.get("mean"), f.get("strongest"), f.get("plain"), f.get("square"), grid
 
-    return by_rows(segments(x, size), f"rec {kind}, segment long, band int, status string, mean_envelope double, strongest_hz double, envelope array<double>, squared array<double>, grid array<double>", run)
+    return by_rows(_values(x, size), f"rec {kind}, segment long, band int, status string, mean_envelope double, strongest_hz double, envelope array<double>, squared array<double>, grid array<double>", run)
 
 
 def bank_kurtosis(v: np.ndarray, rate: float, edge: float, low: float = 20.0, levels: int = 4) -> list[tuple[int, float, float, float]]:
@@ -87,10 +92,10 @@ def kurtosis_bands(x: DataFrame, size: int, rate: float, edge: float = 0.1) -> D
     kind = dict(x.dtypes)["rec"]
 
     def run(r: tuple) -> Iterator[tuple]:
-        v = np.array([s["value"] for s in r.v], dtype=float)
+        v = np.asarray(r.v, dtype=float)
         yield from ((r.rec, r.segment, *row) for row in (bank_kurtosis(v, rate, edge) if np.isfinite(v).all() else []))
 
-    return by_rows(segments(x, size), f"rec {kind}, segment long, level int, low_hz double, high_hz double, kurtosis double", run)
+    return by_rows(_values(x, size), f"rec {kind}, segment long, level int, low_hz double, high_hz double, kurtosis double", run)
 
 
 def coherence(v: np.ndarray, rate: float, frame: int, hop: int, highest: float) -> list[tuple[int, int, float]]:
@@ -114,10 +119,10 @@ def cyclic_map(x: DataFrame, size: int, rate: float, frame: int, highest: float
     kind = dict(x.dtypes)["rec"]
 
     def run(r: tuple) -> Iterator[tuple]:
-        v = np.array([s["value"] for s in r.v], dtype=float)
+        v = np.asarray(r.v, dtype=float)
         yield from ((r.rec, r.segment, *row) for row in (coherence(v, rate, frame, frame // 4, highest) if np.isfinite(v).all() else []))
 
-    return by_rows(segments(x, size), f"rec {kind}, segment long, shift int, k int, coherence double", run)
+    return by_rows(_values(x, size), f"rec {kind}, segment long, shift int, k int, coherence double", run)
 
 
 def strong_peaks(x: DataFrame, size: int, rate: float, low: float = 20.0) -> DataFrame:
@@ -125,7 +130,7 @@ def strong_peaks(x: DataFrame, size: int, rate: float, low: float = 20.0) -> Dat
     kind = dict(x.dtypes)["rec"]
 
     def run(r: tuple) -> Iterator[tuple]:
-        v = np.array([s["value"] for s in r.v], dtype=float)
+        v = np.asarray(r.v, dtype=float)
         if len(v) < 4 or not np.isfinite(v).all():
             return
         a = amplitude_spectrum(v)
@@ -135,7 +140,7 @@ def strong_peaks(x: DataFrame, size: int, rate: float, low: float = 20.0) -> Dat
         for i in sorted(at, key=lambda i: (-a[i], i))[:MOST_PEAKS]:
             yield r.rec, r.segment, rate / len(v), i * rate / len(v), float(a[i])
 
-    return by_rows(segments(x, size), f"rec {kind}, segment long, spacing double, hz double, amplitude double", run)
+    return by_rows(_values(x, size), f"rec {kind}, segment long, spacing double, hz double, amplitude double", run)
 
 
 def _pairs(peaks: DataFrame) -> DataFrame:

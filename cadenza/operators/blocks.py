@@ -11,12 +11,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Samples of a block; items combined in one row; blocks broadcast at most, with a few numbers each (about 10 MB).
 BLOCK, FANOUT, BROADCAST_BLOCKS = 16_384, 256, 50_000
+#: Bytes of a batch that a task of Python unpacks at once, and cells that it hands back at once; a single row may pass both.
+PIECE_BYTES, PIECE_CELLS = 4_000_000, 200_000
 
 Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -58,17 +61,41 @@ def packed(x: DataFrame, columns: list[str], size: int, before: int = 0, after:
     return found.select("rec", "block", F.col("v")[0]["n"].alias("first"), *[F.col("v").getField(c).alias(c) for c in columns])
 
 
-def by_rows(df: DataFrame, schema: str, rows: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
-    """Rows of df mapped to rows of a schema, in Arrow batches; arrays come as NumPy arrays."""
-    names = df.sparkSession.createDataFrame([], schema).columns
+def pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes, a row at least: a batch that is bounded in bytes takes many times these as Python objects."""
+    for batch in batches:
+        step = max(1, most * batch.num_rows // max(batch.nbytes, 1))
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [o for r in batch.itertuples(index=False) for o in rows(r)]
-            if out:
-                yield pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True)))
+def _cells(v: object) -> int:
+    if isinstance(v, np.ndarray) and v.dtype != object:
+        return v.size
+    return sum(map(_cells, v)) if isinstance(v, (tuple, list, np.ndarray)) else 1
 
-    return df.mapInPandas(run, schema)
+
+def by_rows(df: DataFrame, schema: str, rows: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
+    """Rows of df mapped to rows of a schema; arrays come as NumPy arrays. What a task holds as Python objects is bounded, however large Spark's batches are and however many rows come of one."""
+    form = df.sparkSession.createDataFrame([], schema).schema
+    target = to_arrow_schema(form)
+
+    def packed_rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type, from_pandas=True) for column, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, cells = [], 0
+        for piece in pieces(batches):
+            for r in piece.to_pandas().itertuples(index=False):
+                for o in rows(r):
+                    out.append(o)
+                    cells += _cells(o)
+                    if cells >= PIECE_CELLS:
+                        yield packed_rows(out)
+                        out, cells = [], 0
+        if out:
+            yield packed_rows(out)
+
+    return df.mapInArrow(run, form)
 
 
 def scan(items: DataFrame, keys: list[str], combine: Combine, fanout: int = FANOUT) -> DataFrame:
