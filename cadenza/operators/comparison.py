@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.scalars import centred, rms_distance
+from cadenza.operators.blocks import pieces
 
 #: A bank holds this many references at most, so it may be broadcast.
 MAX_REFERENCES = 64
@@ -65,6 +66,15 @@ def bank_pairs(references: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", "class_a", "class_b", rms_distance(F.col("sa"), F.col("sb")).alias("d"))
 
 
+def _members(v: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """The ids, and the shapes as a matrix, of structs (id, shape); no value becomes a Python object."""
+    ids, shapes = v.flatten()
+    size = len(shapes[0])
+    if any(n != size for n in shapes.value_lengths().to_numpy(zero_copy_only=False)):
+        raise ValueError("shapes of one class differ in length")
+    return ids, shapes.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+
+
 def mean_distances(vectors: DataFrame, block: int = 512) -> DataFrame:
     """(class, id, d): the mean distance of each of vectors (id, class, shape) to the others of its class, null if it is alone.
 
@@ -76,13 +86,12 @@ def mean_distances(vectors: DataFrame, block: int = 512) -> DataFrame:
     both = left.join(packed.select("class", "block", F.col("v").alias("w")), ["class", "block"]).select("class", "v", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, v, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x, y = (np.array([r["shape"] for r in rows]) for rows in (v, w))
-                ids, others = np.array([r["id"] for r in v]), np.array([r["id"] for r in w])
-                d = np.array([np.sqrt(((y - row) ** 2).mean(axis=1)) for row in x])
-                apart = ids[:, None] != others[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.string()), pa.array(ids), pa.array((d * apart).sum(axis=1)), pa.array(apart.sum(axis=1))], ["class", "id", "s", "n"])
+        for piece in pieces(batches):
+            for row, key in enumerate(piece.column(0).to_pylist()):
+                (ids, x), (others, y) = (_members(piece.column(c)[row].values) for c in (1, 2))
+                d = np.array([np.sqrt(((y - v) ** 2).mean(axis=1)) for v in x])
+                apart = ids.to_numpy(zero_copy_only=False)[:, None] != others.to_numpy(zero_copy_only=False)[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.string()), ids, pa.array((d * apart).sum(axis=1)), pa.array(apart.sum(axis=1))], ["class", "id", "s", "n"])
 
     kinds = dict(vectors.dtypes)
     sums = both.select(F.col("class").cast("string").alias("class"), "v", "w").mapInArrow(run, f"class string, id {kinds['id']}, s double, n long").withColumn("class", F.col("class").cast(kinds["class"]))
