@@ -70,15 +70,15 @@ def recorded_samples(spark, d):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
         for frame in frames:
-            for rec, v in frame.itertuples(index=False):
-                pcm = np.array([[s["a"], s["b"]] for s in v], "<i4").tobytes()
+            for rec, a, b in frame.itertuples(index=False):
+                pcm = np.stack([a, b], axis=1).astype("<i4").tobytes()
                 part = f"{folder}/{uuid.uuid4().hex}.part"
                 with open(part, "xb") as out:
                     out.write(canonical(Wav(2, 4, 8000, pcm)))
                 os.replace(part, f"{folder}/{rec}.wav")
             yield pd.DataFrame({"n": [len(frame)]})
 
-    x.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b"))).alias("v")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    x.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("n", "a", "b"))).alias("v")).select("rec", "v.a", "v.b").mapInPandas(run, "n long").agg(F.sum("n")).collect()
     rec = F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("rec")
     total = F.round(F.sum(F.col("value") * 2.0**31)).cast("long")
     first, second = (read_samples(spark, f"file://{folder}", channel=c).groupBy(rec).agg(total.alias(f"sum_{c}")) for c in (0, 1))
